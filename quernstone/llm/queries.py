@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import langid, mixing, packing, simhash, toxicity
+from quernstone.llm import audio, divergence, langid, licenses, mixing, ngram, packing, simhash, toxicity, urls
 from quernstone.llm._common import ship, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.score(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.repetitions(table(spark, sf_dir, "documents"))
 
@@ -18,19 +23,39 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no audio: each text's UTF-8 bytes are read as 8-bit PCM."""
+    return audio.features(table(spark, sf_dir, "documents"), F.col("text"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op2_source_mixing, op3_toxicity, op5_simhash_dedup, op7_best_fit_packing, op10_language_id]
+_ALL = [
+    op1_url_filter, op2_source_mixing, op3_toxicity, op4_audio_features, op5_simhash_dedup,
+    op6_distribution_divergence, op7_best_fit_packing, op8_license_scan, op9_lm_scoring, op10_language_id,
+]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
