@@ -1,0 +1,229 @@
+"""Text rules as column expressions: normalisation, boilerplate, chunks, readability, code and spam ratios, quality, language.
+
+Everything here stays in the JVM. NFKC isn't a Spark function; ``nfkc`` applies it to the few rows that it can change.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Common English words, for the share that makes a text English.
+ENGLISH = sorted(
+    """about after all also an and any as at a back be because but by can come could day do even first for from get give
+    good go have her he him his how if into in its it i just know like look make me most my new not now no of one only on
+    other our out over or people say see she some so take than that their them then there these they the think this time
+    to two up use us want way well we what when which who will with work would year your you""".split()
+)
+BOILERPLATE = "(?iu)" + "|".join(
+    [
+        r"(?:partner\s+content|promoted|sponsored|advertisement)",
+        r"(?:see\s+more|learn\s+more|click\s+here|read\s+more)",
+        r"(?:skip\s+ad|please\s+wait|loading\.\.\.)",
+        r"(?:all\s+rights\s+reserved|privacy\s+policy|terms\s+of\s+(?:use|service))",
+        r"(?:pin|tweet|like|follow|share)\s+(?:us|on|this)",
+        r"(?:newsletter|subscribe|sign up)\s+(?:to|for|today|now)",
+        r"cookies?\s+(?:banner|consent|notice|policy)",
+    ]
+)
+URL, EMAIL = r"https?://\S+", r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+CODE_PATTERNS = [
+    r"```[\s\S]*?```",
+    r"`[^`\n]+`",
+    r"(?dm)^\s*(?:(?:class|const|def|from|function|import|let|var) |(?:for|if|while)\s*\()",
+    r"(?dm)^\s*[#/]\s*(?:define|include|pragma)",
+    r"(?dm)=>|->|;\s*$",
+    r"(?dmU)^\s*\w+\s*=\s*\w+\s*\(",
+]
+CODE_LINE = r"(?U)^(?:\w+\s*=|(?:def|class|import|from) |\w+\([^\n]*\)\s*$)"
+
+
+def _length(x: Column) -> Column:
+    return F.length(x).cast("double")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def words(text: Column) -> Column:
+    """The runs of characters that aren't white space."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def sentences(text: Column) -> Column:
+    """Stripped pieces between runs of ``.!?``, without blank ones."""
+    return F.filter(F.transform(F.split(text, r"[.!?]+"), strip), lambda s: s != "")
+
+
+@F.pandas_udf("string")
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+
+
+def _may_change() -> str:
+    """A character class of the code points that NFKC changes or that may combine with others, and of all beyond the first plane."""
+    ranges: list[list[int]] = []
+    for c in range(0x80, 0x10000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        if unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200 or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*ranges, [0x10000, 0x10FFFF]]) + "]"
+
+
+_NFKC_MAY_CHANGE = _may_change()
+
+
+def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with ``column`` in NFKC; only rows that can change go through Python."""
+    may = F.coalesce(F.col(column).rlike(_NFKC_MAY_CHANGE), F.lit(False))
+    return df.where(~may).unionByName(df.where(may).withColumn(column, _nfkc(column)))
+
+
+def normalize(text: Column) -> Column:
+    """Line ends, entities, runs of newlines and of blanks; stripped. NFKC comes before (``nfkc``)."""
+    out = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    out = F.regexp_replace(out, r"&[a-zA-Z]+;|&#\d+;", " ")
+    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    return strip(F.regexp_replace(out, r"[ \t]+", " "))
+
+
+def strip_boilerplate(text: Column) -> Column:
+    """Without sentences that match a boilerplate rule, then without URLs and e-mail addresses."""
+    kept = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), strip), lambda s: (s != "") & ~s.rlike(BOILERPLATE))
+    return strip(F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), r"(?U)" + URL, ""), EMAIL, ""))
+
+
+def chunks(text: Column, max_size: int = 4000) -> Column:
+    """Paragraphs packed greedily up to ``max_size``; a longer paragraph is a chunk of its own."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+
+    def step(acc: Column, p: Column) -> Column:
+        flush = (F.length(acc.cur) + F.length(p) + 2 > max_size) & (acc.cur != "")
+        joined = F.when(acc.cur != "", F.concat(acc.cur, F.lit("\n\n"), p)).otherwise(p)
+        return F.struct(F.when(flush, F.array_append(acc.out, strip(acc.cur))).otherwise(acc.out).alias("out"), F.when(flush, p).otherwise(joined).alias("cur"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(strip(acc.cur) != "", F.array_append(acc.out, strip(acc.cur))).otherwise(acc.out)
+
+    packed = F.aggregate(F.split(text, "\n\n"), start, step, finish)
+    return F.when(F.length(text) <= max_size, F.array(text)).when(F.size(packed) > 0, packed).when(text.isNotNull(), F.array(F.substring(text, 1, max_size)))
+
+
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy of the characters in bits; 0 for an empty text."""
+    n = _length(text)
+    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - _length(F.replace(text, c, F.lit(""))))
+    total = F.aggregate(F.filter(each, lambda k: k > 0), F.lit(0.0), lambda s, k: s + k * F.log2(k))
+    return F.when(n > 0, F.log2(n) - total / n).when(text.isNotNull(), F.lit(0.0))
+
+
+def syllables(word: Column) -> Column:
+    """Runs of vowels, less a silent e at the end, 1 at least; words of at most two characters have 1."""
+    w = strip(F.lower(word))
+    runs = F.regexp_count(w, F.lit("[aeiouy]+"))
+    return F.when(F.length(w) <= 2, 1).otherwise(F.greatest(F.lit(1), runs - F.when(F.endswith(w, F.lit("e")) & (runs > 1), 1).otherwise(0)))
+
+
+def syllable_total(tokens: Column) -> Column:
+    return F.aggregate(tokens, F.lit(0), lambda s, w: s + syllables(w))
+
+
+def flesch_kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
+    """Grade from counts; 0 where there is no word or sentence."""
+    return F.when((n_words > 0) & (n_sentences > 0), 0.39 * (n_words / n_sentences) + 11.8 * (n_syllables / n_words) - 15.59).otherwise(0.0)
+
+
+def code_ratio(text: Column) -> Column:
+    """The larger of the share of characters that code patterns match (overlaps count twice, 1 at most) and of lines that look like code."""
+    matched = sum((F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda s, m: s + F.length(m)) for p in CODE_PATTERNS), F.lit(0))
+    lines = F.split(text, "\n")
+    like = F.size(F.filter(lines, lambda x: strip(x).rlike(CODE_LINE)))
+    return F.greatest(F.least(F.lit(1.0), matched / F.greatest(_length(text), F.lit(1.0))), like / F.size(lines))
+
+
+def spam_score(text: Column, tokens: Column, pieces: Column) -> Column:
+    """Penalties for a repeated word, capitals, exclamation and question marks, and short sentences; 1 at most."""
+    n = F.size(tokens)
+    normal = F.array_sort(F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(acc.w == w, acc.run + 1).otherwise(1)
+        return F.struct(w.alias("w"), run.alias("run"), F.greatest(acc.best, run).alias("best"))
+
+    most = F.aggregate(normal, start, step, lambda acc: acc.best)
+    long = F.filter(tokens, lambda w: F.length(w) > 2)
+    capitals = F.size(F.filter(long, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    marks = F.length(text) - F.length(F.translate(text, "!?", ""))
+    short = F.size(F.filter(pieces, lambda s: F.size(words(s)) < 4))
+    total = (
+        F.when(most > n * F.lit(0.08), 0.3).otherwise(0.0)
+        + F.when((F.size(long) > 0) & (capitals / F.size(long) > 0.3), 0.3).otherwise(0.0)
+        + F.when(marks > n * F.lit(0.05), 0.2).otherwise(0.0)
+        + F.when((F.size(pieces) > 0) & (short / F.size(pieces) > 0.5), 0.2).otherwise(0.0)
+    )
+    return F.when(n > 0, F.least(F.lit(1.0), total)).otherwise(0.0)
+
+
+def quality(n_chars: Column, n_words: Column, n_sentences: Column, grade: Column, entropy: Column, code: Column, spam: Column) -> Column:
+    """The weighted score of six curves, 0 to 1, rounded to 3 places; 0 for fewer than 50 characters or no words or sentences."""
+    chars, per = n_chars.cast("double"), n_words / n_sentences
+    length = F.when(chars < 200, chars / 200 * 0.5).when(chars < 500, 0.5 + (chars - 200) / 300 * 0.3).when(chars < 5000, 0.8 + (chars - 500) / 4500 * 0.2).otherwise(1.0)
+    sentence = F.when(per < 5, per / 5 * 0.5).when(per > 40, F.greatest(F.lit(0.3), 1.0 - (per - 40) / 40)).otherwise(0.7 + (per - 5) / 35 * 0.3)
+    reading = F.when(grade < 3, 0.4).when(grade < 8, 0.7 + (grade - 3) / 5 * 0.3).when(grade < 14, 1.0).when(grade < 20, F.greatest(F.lit(0.5), 1.0 - (grade - 14) / 6 * 0.5)).otherwise(0.3)
+    chaos = F.when(entropy < 3.0, entropy / 3.0 * 0.5).when(entropy < 4.5, 0.5 + (entropy - 3.0) / 1.5 * 0.5).otherwise(1.0)
+    total = length * 0.15 + sentence * 0.20 + reading * 0.20 + chaos * 0.20 + (1.0 - F.least(F.lit(1.0), code * 1.5)) * 0.15 + (1.0 - spam) * 0.10
+    return F.when((n_chars >= 50) & (n_words > 0) & (n_sentences > 0), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)).otherwise(0.0)
+
+
+def detect_language(text: Column, listed: list[str] = ENGLISH) -> Column:
+    """'en', 'non-ascii' or 'unknown', by the share of common English words among the first 500 of plain letters."""
+    n = _length(text)
+    foreign = n - _length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    tokens = F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$")), 1, 500)
+    common = F.size(F.filter(tokens, lambda w: w.isin(listed)))
+    return F.when(F.coalesce(n, F.lit(0.0)) == 0, "unknown").when(foreign / n > 0.3, "non-ascii").when((F.size(tokens) > 0) & (common / F.size(tokens) > 0.25), "en").otherwise("unknown")
+
+
+def normalize_answer(text: Column) -> Column:
+    """Lower case, single blanks, without blanks and ``.!?`` at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(text)), r"(?U)\s+", " "), r"^[ .!?]+|[ .!?]+$", "")
+
+
+def strip_fence(text: Column) -> Column:
+    """The inside of a fenced block, or the stripped text; an open fence without a new line is kept as it is."""
+    t = strip(text)
+    inside = F.regexp_replace(t, r"(?s)^```[^\n]*\n", "")
+    return F.when(F.startswith(t, F.lit("```")) & F.contains(t, F.lit("\n")), strip(F.regexp_replace(inside, r"(?s)```(?:(?!```).)*$", ""))).otherwise(t)
+
+
+def estimate_tokens(text: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.length(text) / 4))
+
+
+def fallback_cost(tokens_in: Column, tokens_out: Column) -> Column:
+    """The price in dollars where a model's own is unknown."""
+    return tokens_in / 1000 * 0.01 + tokens_out / 1000 * 0.03
+
+
+def format_cost(cost: Column) -> Column:
+    return F.when(cost < 0.01, F.format_string("$%.4f", cost)).otherwise(F.format_string("$%.2f", cost))
+
+
+def file_stem(topic: Column) -> Column:
+    return F.regexp_replace(topic, r"[^\p{L}\p{N}_-]", "_")
+
+
+def first_number(text: Column) -> Column:
+    """The first number or fraction of a text, else the stripped text."""
+    found = F.regexp_extract(text, r"[-+]?\d*\.?\d+(?:/\d+)?", 0)
+    return F.when(found != "", found).otherwise(strip(text))
