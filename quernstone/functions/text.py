@@ -6,10 +6,12 @@ Everything here stays in the JVM. NFKC isn't a Spark function; ``nfkc`` applies
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Common English words, for the share that makes a text English.
 ENGLISH = sorted(
@@ -60,32 +62,35 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]+"), strip), lambda s: s != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
 
-def _may_change() -> str:
-    """A character class of the code points that NFKC changes or that may combine with others, and of all beyond the first plane."""
+def _stable() -> str:
+    """A character class of all but some code points that NFKC leaves alone wherever they stand; the few ranges keep it fast."""
     ranges: list[list[int]] = []
-    for c in range(0x80, 0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        if unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200 or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+    for c in [*range(0x180), *range(0x400, 0x483), *range(0x2010, 0x2027), *range(0x3041, 0x3097), *range(0x4E00, 0xA000)]:
+        if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
                 ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*ranges, [0x10000, 0x10FFFF]]) + "]"
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
-_NFKC_MAY_CHANGE = _may_change()
+_NFKC_MAY_CHANGE = _stable()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
-    """``df`` with ``column`` in NFKC; only rows that can change go through Python."""
-    may = F.coalesce(F.col(column).rlike(_NFKC_MAY_CHANGE), F.lit(False))
-    return df.where(~may).unionByName(df.where(may).withColumn(column, _nfkc(column)))
+    """``df`` with ``column`` in NFKC; only texts that can change are sent to Python, the others go as nulls."""
+    may = F.when(F.col(column).rlike(_NFKC_MAY_CHANGE), F.col(column))
+    return df.withColumn(column, F.coalesce(_nfkc(may), F.col(column)))
 
 
 def normalize(text: Column) -> Column:
@@ -153,7 +158,7 @@ def code_ratio(text: Column) -> Column:
 def spam_score(text: Column, tokens: Column, pieces: Column) -> Column:
     """Penalties for a repeated word, capitals, exclamation and question marks, and short sentences; 1 at most."""
     n = F.size(tokens)
-    normal = F.array_sort(F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
+    normal = F.sort_array(F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, w: Column) -> Column:
@@ -161,13 +166,13 @@ def spam_score(text: Column, tokens: Column, pieces: Column) -> Column:
         return F.struct(w.alias("w"), run.alias("run"), F.greatest(acc.best, run).alias("best"))
 
     most = F.aggregate(normal, start, step, lambda acc: acc.best)
-    long = F.filter(tokens, lambda w: F.length(w) > 2)
-    capitals = F.size(F.filter(long, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    long = F.size(F.filter(tokens, lambda w: F.length(w) > 2))
+    capitals = F.size(F.filter(tokens, lambda w: (F.length(w) > 2) & (w == F.upper(w)) & (w != F.lower(w))))
     marks = F.length(text) - F.length(F.translate(text, "!?", ""))
     short = F.size(F.filter(pieces, lambda s: F.size(words(s)) < 4))
     total = (
         F.when(most > n * F.lit(0.08), 0.3).otherwise(0.0)
-        + F.when((F.size(long) > 0) & (capitals / F.size(long) > 0.3), 0.3).otherwise(0.0)
+        + F.when(capitals > long * F.lit(0.3), 0.3).otherwise(0.0)
         + F.when(marks > n * F.lit(0.05), 0.2).otherwise(0.0)
         + F.when((F.size(pieces) > 0) & (short / F.size(pieces) > 0.5), 0.2).otherwise(0.0)
     )
@@ -188,10 +193,10 @@ def quality(n_chars: Column, n_words: Column, n_sentences: Column, grade: Column
 def detect_language(text: Column, listed: list[str] = ENGLISH) -> Column:
     """'en', 'non-ascii' or 'unknown', by the share of common English words among the first 500 of plain letters."""
     n = _length(text)
-    foreign = n - _length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    tokens = F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$")), 1, 500)
-    common = F.size(F.filter(tokens, lambda w: w.isin(listed)))
-    return F.when(F.coalesce(n, F.lit(0.0)) == 0, "unknown").when(foreign / n > 0.3, "non-ascii").when((F.size(tokens) > 0) & (common / F.size(tokens) > 0.25), "en").otherwise("unknown")
+    foreign = n - _length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
+    plain = F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"), F.lit(0)), 1, 500)
+    english = let(plain, lambda tokens: F.size(F.filter(tokens, lambda w: w.isin(listed))) > F.size(tokens) * F.lit(0.25))
+    return F.when(F.coalesce(n, F.lit(0.0)) == 0, "unknown").when(foreign / n > 0.3, "non-ascii").when(english, "en").otherwise("unknown")
 
 
 def normalize_answer(text: Column) -> Column:
@@ -216,7 +221,7 @@ def fallback_cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 
 def format_cost(cost: Column) -> Column:
-    return F.when(cost < 0.01, F.format_string("$%.4f", cost)).otherwise(F.format_string("$%.2f", cost))
+    return F.when(cost < 0.01, F.format_string("$%.4f", F.round(F.round(cost, 6), 4))).otherwise(F.format_string("$%.2f", F.round(F.round(cost, 6), 2)))
 
 
 def file_stem(topic: Column) -> Column:

@@ -53,22 +53,20 @@ def decide(docs: DataFrame, settings: CleanSettings = CleanSettings(), nfkc: boo
     """
     raw = docs.withColumn("language", T.detect_language(F.col("text")))
     early = F.when(F.coalesce(F.length("text"), F.lit(0)) < settings.min_text_length, "short").when(F.col("language") != settings.language, "language")
-    marked = raw.withColumn("early", early)
-    open_rows = marked.where("early IS NULL").drop("early")
+    # Texts that an early rule drops become null, which costs the later columns nothing.
+    marked = raw.withColumn("early", early).withColumn("__open", F.when(F.col("early").isNull(), F.col("text")))
     if nfkc:
-        open_rows = T.nfkc(open_rows)
-    cleaned = open_rows.withColumn("clean", T.strip_boilerplate(T.normalize(F.col("text"))))
-    scored = with_features(cleaned).withColumn("quality_score", quality_column())
-    late = (
-        F.when(F.col("n_chars_clean") < settings.min_text_length, "short")
+        marked = T.nfkc(marked, "__open")
+    cleaned = marked.withColumn("clean", T.strip_boilerplate(T.normalize(F.col("__open")))).drop("__open")
+    scored = with_features(cleaned).withColumn("quality_score", F.when(F.col("early").isNull(), quality_column()))
+    reason = (
+        F.when(F.col("early").isNotNull(), F.col("early"))
+        .when(F.col("n_chars_clean") < settings.min_text_length, "short")
         .when(F.col("code") > settings.max_code_ratio, "code")
         .when(F.col("quality_score") < settings.min_quality_score, "quality")
         .when(F.col("entropy") < settings.min_char_entropy, "quality")
     )
-    kept = [*docs.columns, "language", "clean", "quality_score"]
-    done = scored.withColumn("drop_reason", late).select(*kept, "drop_reason")
-    dropped = marked.where("early IS NOT NULL").withColumn("clean", F.lit(None).cast("string")).withColumn("quality_score", F.lit(None).cast("double"))
-    return done.unionByName(dropped.select(*kept, F.col("early").alias("drop_reason")))
+    return scored.withColumn("drop_reason", reason).select(*docs.columns, "language", "clean", "quality_score", "drop_reason")
 
 
 def clean(docs: DataFrame, settings: CleanSettings = CleanSettings()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import text_queries  # noqa: F401
+from quernstone.plans import dedup_queries, text_queries  # noqa: F401
 from quernstone.plans.registry import QUERIES, SQL, Query
 
 

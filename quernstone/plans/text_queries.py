@@ -38,8 +38,8 @@ def strip_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_boilerplate(T.normalize(F.col("text")))).alias("digest"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
-r AS MATERIALIZED (SELECT doc_id, t, {Q.chunks('t', 1000)} AS a FROM p),
+@query(f"""WITH base AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+r AS MATERIALIZED (SELECT doc_id, t, {Q.chunks('t', 1000)} AS a FROM base),
 c AS (SELECT doc_id, CASE WHEN length(t) <= 1000 THEN [t] ELSE CASE WHEN {Q.strip('a.cur')} <> '' THEN list_append(a.out, {Q.strip('a.cur')}) ELSE a.out END END AS chunks FROM r)
 SELECT doc_id, unnest(range(len(chunks)))::INTEGER AS pos, md5(unnest(chunks)) AS digest FROM c""")
 def chunk_text(spark, sf_dir):
@@ -113,8 +113,8 @@ def quality_vs_label(spark, sf_dir):
     return joined.groupBy("quality").agg(F.count("*").alias("docs"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
-@query("""SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens, round(greatest(1, length(text) // 4)::BIGINT / 1000.0::DOUBLE * 0.01::DOUBLE, 6) AS cost,
-CASE WHEN greatest(1, length(text) // 4)::BIGINT / 1000.0::DOUBLE * 0.01::DOUBLE < 0.01 THEN printf('$%.4f', greatest(1, length(text) // 4)::BIGINT / 1000.0::DOUBLE * 0.01::DOUBLE) ELSE printf('$%.2f', greatest(1, length(text) // 4)::BIGINT / 1000.0::DOUBLE * 0.01::DOUBLE) END AS shown FROM documents""")
+@query("""WITH t AS (SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents), c AS (SELECT *, tokens / 1000.0::DOUBLE * 0.01::DOUBLE AS raw FROM t)
+SELECT doc_id, tokens, round(raw, 6) AS cost, CASE WHEN raw < 0.01 THEN '$' || round(round(raw, 6)::DECIMAL(18, 6), 4)::DECIMAL(18, 4)::VARCHAR ELSE '$' || round(round(raw, 6)::DECIMAL(18, 6), 2)::DECIMAL(18, 2)::VARCHAR END AS shown FROM c""")
 def token_estimate(spark, sf_dir):
     n = T.estimate_tokens(F.col("text"))
     cost = T.fallback_cost(n, F.lit(0))
