@@ -6,13 +6,17 @@ A segment's keys are the 12-bit indices of all codewords within 4 bits of it: on
 away, else six. Two segments that differ in at most 2 bits have a point within 1 bit of both, whose codeword is within 4
 bits of both, so they share a key. A row key joins the keys of two segments. By the pigeonhole principle, of two
 fingerprints at most ``EXACT`` = 11 bits apart at most three segments have 3 or more errors, so two are within 2 bits and
-the pair shares a row key: no such pair is missed. Pairs of 12 to ``threshold`` bits are found when their errors leave
-two segments within 2 bits, which is likely but not certain; ``tests/llm`` measures recall against brute force.
+the pair shares a row key: no such pair is missed. Pairs of 12 to ``THRESHOLD`` bits are found when their errors leave
+two segments that share a key, which is likely but not certain; ``tests/llm`` measures recall against brute force.
 
-The row that is shuffled is two longs: table, the two codeword indices, how the two segments differ from these codewords,
-and the other three segments. It holds the key and the whole fingerprint, so candidates are verified where they meet,
-with neither texts nor a second join. Within a bucket, connected components are found by sweeps from one member over all
-that aren't reached yet, so that a bucket of thousands of copies costs few sweeps, and every bucket is done in full.
+Long texts of one language share most of their words, so words alone would join strangers. A second fingerprint of 64 bits,
+of the distinct word triples, verifies: near-duplicates are at most ``THRESHOLD`` bits apart in the first and at most
+``TRIPLES`` bits in the second.
+
+The row that is shuffled is three longs: table, the two codeword indices, how the two segments differ from these codewords,
+the other three segments, and the triples' bits. It holds the key and all that verifies, so candidates are verified where
+they meet, with neither texts nor a second join. Within a bucket, connected components are found by sweeps from one member
+over all that aren't reached yet, so that a bucket of thousands of copies costs few sweeps, and every bucket is done in full.
 
 Defined results: a null text is in no group; texts without a word (empty, punctuation) are grouped when equal; rows that
 repeat (same id, same text) are copies and one stays; the row that stays in a group is the one with the least doc_id (null
@@ -37,8 +41,8 @@ from pyspark.sql import types as T
 from quernstone.llm._common import checkpointed, text_groups
 
 SEGMENTS, WIDTH, BITS, EXACT = 5, 23, 115, 11
-#: Bits by which the fingerprints of near-duplicates may differ.
-THRESHOLD = 15
+#: Bits by which the fingerprints of near-duplicates may differ, of words and of word triples.
+THRESHOLD, TRIPLES = 19, 21
 TABLES = list(combinations(range(SEGMENTS), 2))
 _GENERATOR = 0xAE3
 _WORD = re.compile(r"\w+")
@@ -72,28 +76,58 @@ def _syndromes() -> np.ndarray:
     return _remainder(np.arange(1 << WIDTH, dtype=np.int64)).astype(np.uint16)
 
 
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def _bit_counts(raw: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """[n, bits] how many of each owner's rows of bytes have each bit; ``owner`` rises. Works in slices: a text may be very long."""
+    out = np.zeros((n, bits), np.int64)
+    for at in range(0, len(owner), 65_536):
+        o = owner[at : at + 65_536]
+        starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        out[o[starts]] += np.add.reduceat(np.unpackbits(raw[at : at + 65_536], axis=1)[:, :bits], starts, axis=0, dtype=np.int64)
+    return out
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
-def segments_of(texts: list) -> np.ndarray:
-    """[n, 5] segments, -1 where a text is null or has no word."""
-    out = np.full((len(texts), SEGMENTS), -1, np.int64)
+
+def fingerprints_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """([n, 5] segments, [n] bits of word triples as int64); segments are -1 where a text is null or has no word."""
+    out, triples = np.full((len(texts), SEGMENTS), -1, np.int64), np.zeros(len(texts), np.int64)
     powers = 1 << np.arange(WIDTH, dtype=np.int64)
-    digest = xxhash.xxh3_128_digest
     for a, b in text_groups(texts, 400_000):
-        sets = [words_of(t) if t else () for t in texts[a:b]]
-        sizes = np.array([len(s) for s in sets])
-        if not sizes.sum():
+        number: dict[str, int] = {}
+        found = [_WORD.findall(t.lower()) if t else () for t in texts[a:b]]
+        sizes = np.array([len(f) for f in found])
+        word = np.fromiter((number.setdefault(w, len(number)) for f in found for w in f), np.int64, int(sizes.sum()))
+        if not len(word):
             continue
-        raw = b"".join([digest(w) for s in sets for w in s])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16)[:, :15], axis=1)[:, :BITS]
+        table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint8).reshape(-1, 16)
+        doc = np.repeat(np.arange(b - a), sizes)
+        distinct = np.unique(doc * len(number) + word)
+        owner = distinct // len(number)
+        ones = _bit_counts(table[distinct % len(number), :15], owner, b - a, BITS)
         full = np.flatnonzero(sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        sign = (2 * ones > sizes[full][:, None]).reshape(-1, SEGMENTS, WIDTH)
+        sign = (2 * ones > np.bincount(owner, minlength=b - a)[:, None])[full].reshape(-1, SEGMENTS, WIDTH)
         out[a + full] = sign @ powers
-    return out
+        h = np.ascontiguousarray(table[:, 8:]).view(np.uint64).ravel()[word]
+        whole = np.flatnonzero(doc[:-2] == doc[2:])
+        three = h[whole] * np.uint64(0x9E3779B97F4A7C15) + h[whole + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[whole + 2] * np.uint64(0x165667B19E3779F9)
+        few = np.flatnonzero(sizes[doc] < 3)  # shorter texts go by their words
+        g, owner = _mixed(np.concatenate([three, h[few]])), np.concatenate([doc[whole], doc[few]])
+        order = np.lexsort((g, owner))
+        g, owner = g[order], owner[order]
+        first = np.concatenate([[True], (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])])
+        g, owner = g[first], owner[first]
+        ones = _bit_counts(g.view(np.uint8).reshape(-1, 8), owner, b - a, 64)
+        triples[a:b] = np.packbits(2 * ones > np.bincount(owner, minlength=b - a)[:, None], axis=1).view(np.int64).ravel()
+    return out, triples
+
+
+def node_numbers(hi: np.ndarray, lo: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """One number for each fingerprint, by which it is joined."""
+    x = _mixed(_mixed(_mixed(hi.view(np.uint64)) + lo.view(np.uint64)) + triples.view(np.uint64))
+    return x.view(np.int64)
 
 
 def pack(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +141,20 @@ def unpack(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.stack([hi >> 31 & m, hi >> 8 & m, (hi & 0xFF) << 15 | lo >> 46 & 0x7FFF, lo >> 23 & m, lo & m], axis=1)
 
 
-@F.pandas_udf(T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("hi", "lo", "triples", "n")]))
 def _fingerprint(text: pd.Series) -> pd.DataFrame:
-    texts = [t if isinstance(t, str) else None for t in text]
-    segments = segments_of(texts)
+    segments, triples = fingerprints_of([t if isinstance(t, str) else None for t in text])
     hi, lo = pack(np.maximum(segments, 0))
     none = segments[:, 0] < 0
-    return pd.DataFrame({"hi": pd.arrays.IntegerArray(hi, none), "lo": pd.arrays.IntegerArray(lo, none.copy())})
+    columns = {"hi": hi, "lo": lo, "triples": triples, "n": node_numbers(hi, lo, triples)}
+    return pd.DataFrame({k: pd.arrays.IntegerArray(x, none.copy()) for k, x in columns.items()})
 
 
-def row_keys(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shuffled rows of fingerprints: (a, b), the key in the upper 28 bits of a."""
-    codewords, patterns, count = golay()
+def row_keys(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shuffled rows of fingerprints: (a, b, which fingerprint), the key in the upper 28 bits of a."""
+    _, patterns, count = golay()
     syndrome = _syndromes()[segments].astype(np.int64)
-    each: list[tuple[np.ndarray, np.ndarray]] = []
+    each: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = len(segments)
     many = [count[syndrome[:, k]] for k in range(SEGMENTS)]
     for t, (i, j) in enumerate(TABLES):
@@ -133,8 +167,9 @@ def row_keys(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, q, r = (segments[row, k] for k in range(SEGMENTS) if k not in (i, j))
         top = (t if t < 8 else t - 16) << 60
         a = top | ci << 48 | cj << 36 | (si << 3 | ki) << 22 | (sj << 3 | kj) << 8 | p >> 15
-        each.append((a, (p & 0x7FFF) << 46 | q << 23 | r))
-    return np.concatenate([x for x, _ in each]), np.concatenate([x for _, x in each])
+        each.append((a, (p & 0x7FFF) << 46 | q << 23 | r, row))
+    a, b, row = (np.concatenate([x[k] for x in each]) for k in range(3))
+    return a, b, row
 
 
 def row_fingerprints(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,94 +192,90 @@ def row_fingerprints(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hi, lo = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        hi, lo, triples = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
         for at in range(0, len(hi), 500):
-            a, b = row_keys(unpack(hi[at : at + 500], lo[at : at + 500]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b, row = row_keys(unpack(hi[at : at + 500], lo[at : at + 500]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(triples[at + row])], ["a", "b", "c"])
 
 
-def _distance(h: np.ndarray, l: np.ndarray, h2, l2) -> np.ndarray:  # noqa: E741
-    return np.bitwise_count(h ^ h2).astype(np.int16) + np.bitwise_count(l ^ l2)
+class Prints:
+    """Fingerprints side by side, and which of them are near-duplicates."""
 
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, triples: np.ndarray, threshold: int = THRESHOLD, limit: int = TRIPLES):
+        # Bits are counted without a sign: numpy counts those of the absolute value.
+        self.hi, self.lo, self.triples, self.threshold, self.limit = hi, lo, triples.astype(np.uint64), threshold, limit
 
-def bucket_links(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """Links [4, n] (hi, lo of either end) that connect, in each run of equal keys, what verified pairs connect."""
-    links: list[np.ndarray] = []
+    def near(self, u: np.ndarray, v) -> np.ndarray:
+        d = np.bitwise_count(self.hi[u] ^ self.hi[v]).astype(np.int16) + np.bitwise_count(self.lo[u] ^ self.lo[v])
+        return (d <= self.threshold) & (np.bitwise_count(self.triples[u] ^ self.triples[v]) <= self.limit)
+
+
+def bucket_links(key: np.ndarray, prints: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (u, v) of links that connect, in each run of equal keys, what verified pairs connect."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
     starts, sizes = cuts[:-1], np.diff(cuts)
     for size in range(2, _SMALL + 1):
         at = starts[sizes == size]
         for x, y in combinations(range(size), 2) if len(at) else ():
-            u, v = at + x, at + y
-            d = _distance(hi[u], lo[u], hi[v], lo[v])
-            ok = (d <= threshold) & (d > 0)
-            if ok.any():
-                u, v = u[ok], v[ok]
-                links.append(np.stack([hi[u], lo[u], hi[v], lo[v]]))
+            ok = prints.near(at + x, at + y)
+            us.append((at + x)[ok])
+            vs.append((at + y)[ok])
     for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
-        h, w = hi[start : start + size], lo[start : start + size]
-        left = np.arange(size)
+        left = np.arange(start, start + size)
         while len(left):
-            root, left = left[0], left[1:]
+            root, left = int(left[0]), left[1:]
             queue = [root]
             while queue and len(left):
-                k = queue.pop()
-                d = _distance(h[left], w[left], h[k], w[k])
-                near = d <= threshold
+                near = prints.near(left, queue.pop())
                 if near.any():
-                    found = left[near]
-                    left = left[~near]
-                    other = found[d[near] > 0]
-                    links.append(np.stack([np.full(len(other), h[root]), np.full(len(other), w[root]), h[other], w[other]]))
+                    found, left = left[near], left[~near]
+                    us.append(np.full(len(found), root))
+                    vs.append(found)
                     queue.extend(found.tolist())
-    return links
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _bucket_task(threshold: int, limit: int):
+    def close(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Links [2, n] between the numbers of the rows' fingerprints."""
+        key = a >> 36
+        same = np.zeros(len(a), bool)
+        eq = key[1:] == key[:-1]
+        same[1:] |= eq
+        same[:-1] |= eq
+        if not same.any():
+            return np.zeros((2, 0), np.int64)
+        hi, lo = row_fingerprints(a[same], b[same])
+        u, v = bucket_links(key[same], Prints(hi, lo, c[same], threshold, limit))
+        ends = np.stack([node_numbers(hi[x], lo[x], c[same][x]) for x in (u, v)])
+        return np.stack([ends.max(0), ends.min(0)])
+
+    def out(links: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(links, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
 
-
-def _bucket_task(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_a, held_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen: np.ndarray | None = None
-
-        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-            key = a >> 36
-            same = np.zeros(len(a), bool)
-            eq = key[1:] == key[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-            if not same.any():
-                return None
-            hi, lo = row_fingerprints(a[same], b[same])
-            links = bucket_links(key[same], hi, lo, threshold)
-            return np.concatenate(links, axis=1) if links else None
-
-        def out(links: np.ndarray) -> pa.RecordBatch:
-            swap = (links[0] > links[2]) | ((links[0] == links[2]) & (links[1] > links[3]))
-            links[:, swap] = links[[2, 3, 0, 1]][:, swap]
-            return pa.RecordBatch.from_pandas(pd.DataFrame(links.T, columns=["h1", "l1", "h2", "l2"]).drop_duplicates(), preserve_index=False)
-
         wait: list[np.ndarray] = []
-        parts_a: list[np.ndarray] = [held_a]
-        parts_b: list[np.ndarray] = [held_b]
+        parts: list[list[np.ndarray]] = [[], [], []]
         rows = 0
         for batch in batches:
-            parts_a.append(batch.column(0).to_numpy())
-            parts_b.append(batch.column(1).to_numpy())
+            for k in range(3):
+                parts[k].append(batch.column(k).to_numpy())
             rows += batch.num_rows
             if rows < 200_000:
                 continue
-            a, b = np.concatenate(parts_a), np.concatenate(parts_b)
+            a, b, c = map(np.concatenate, parts)
             last = int(np.searchsorted(a >> 36, a[-1] >> 36, "left"))
-            if last and (seen := close(a[:last], b[:last])) is not None:
-                wait.append(seen)
-            parts_a, parts_b, rows = [a[last:]], [b[last:]], 0
+            wait.append(close(a[:last], b[:last], c[:last]))
+            parts, rows = [[a[last:]], [b[last:]], [c[last:]]], len(a) - last
             if sum(x.shape[1] for x in wait) > 500_000:
-                yield out(np.concatenate(wait, axis=1))
+                yield out(wait)
                 wait = []
-        a, b = np.concatenate(parts_a), np.concatenate(parts_b)
-        if len(a) and (seen := close(a, b)) is not None:
-            wait.append(seen)
+        if rows:
+            wait.append(close(*map(np.concatenate, parts)))
         if wait:
-            yield out(np.concatenate(wait, axis=1))
+            yield out(wait)
 
     return run
 
@@ -270,54 +301,50 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, hi, lo): th is a hash of the text, hi and lo its fingerprint or null; rows with a null text are left out."""
-    return docs.select(F.col("doc_id"), F.col("text")).where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), _fingerprint("text").alias("f")).select("doc_id", "th", "f.hi", "f.lo")
+    """(doc_id, th, n, hi, lo, triples): th is a hash of the text, n the number of its fingerprint (th without words); rows with a null text are left out."""
+    return docs.select("doc_id", "text").where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), _fingerprint("text").alias("f")).select("doc_id", "th", F.coalesce("f.n", "th").alias("n"), "f.hi", "f.lo", "f.triples")
 
 
-def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(h1, l1, h2, l2): verified links between the fingerprints (hi, lo), which are distinct."""
-    keys = distinct.select("hi", "lo").mapInArrow(_explode, "a long, b long")
+def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES) -> DataFrame:
+    """(u, v): verified links between the numbers of the fingerprints (hi, lo, triples), which are distinct."""
+    keys = distinct.select("hi", "lo", "triples").mapInArrow(_explode, "a long, b long, c long")
     met = keys.repartition(F.shiftright("a", 36)).sortWithinPartitions("a")
-    return met.mapInArrow(_bucket_task(threshold), "h1 long, l1 long, h2 long, l2 long").distinct()
+    return met.mapInArrow(_bucket_task(threshold, limit), "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def groups(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES) -> DataFrame:
     """(doc_id, th, keep_id, keep_th, copies): every row identity (doc_id, th), the identity that its group keeps, and how
     many rows have this identity."""
-    prints = checkpointed(fingerprints(docs).groupBy("doc_id", "th").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.count("*").alias("copies")))
-    # One node for each distinct fingerprint, or each distinct text where there is none.
-    node = [F.coalesce("hi", F.lit(-1)).alias("hi"), F.coalesce("lo", "th").alias("lo")]
+    prints = checkpointed(fingerprints(docs).groupBy("doc_id", "th").agg(*[F.first(x).alias(x) for x in ("n", "hi", "lo", "triples")], F.count("*").alias("copies")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
-    nodes = checkpointed(prints.select("doc_id", "th", "hi", "lo").groupBy(*node).agg(least).withColumn("n", F.xxhash64("hi", "lo")))
-    links = link_fingerprints(nodes.where("hi >= 0"), threshold)
-    # A node's number is a hash of its fingerprint; the fingerprints are joined on themselves, so equal numbers only merge groups.
-    roots = components(links.select(F.xxhash64("h1", "l1").alias("u"), F.xxhash64("h2", "l2").alias("v")))
-    placed = nodes.join(roots, nodes.n == roots.node, "left").select("hi", "lo", "least", F.coalesce("root", "n").alias("root"), F.col("root").isNotNull().alias("linked"))
+    nodes = checkpointed(prints.groupBy("n").agg(*[F.first(x).alias(x) for x in ("hi", "lo", "triples")], least))
+    roots = components(link_fingerprints(nodes.where("hi IS NOT NULL"), threshold, limit))
+    placed = nodes.select("n", "least").join(roots, nodes.n == roots.node, "left").select("n", "least", "root")
     # Nodes without links keep their own least row; only linked ones are grouped again.
-    linked = placed.where("linked")
-    kept = linked.join(linked.groupBy("root").agg(F.min("least").alias("keep")), "root").select("hi", "lo", "keep").unionByName(placed.where("NOT linked").select("hi", "lo", F.col("least").alias("keep")))
-    return prints.select("doc_id", "th", "copies", *node).join(kept, ["hi", "lo"]).select("doc_id", "th", F.col("keep.doc_id").alias("keep_id"), F.col("keep.th").alias("keep_th"), "copies")
+    linked = placed.where("root IS NOT NULL")
+    kept = linked.join(linked.groupBy("root").agg(F.min("least").alias("keep")), "root").select("n", "keep").unionByName(placed.where("root IS NULL").select("n", F.col("least").alias("keep")))
+    return prints.select("doc_id", "th", "copies", "n").join(kept, "n").select("doc_id", "th", F.col("keep.doc_id").alias("keep_id"), F.col("keep.th").alias("keep_th"), "copies")
 
 
 def _same():
     return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES) -> DataFrame:
     """(doc_id, duplicate_of, copies): the rows that have to go. ``copies`` counts the rows that go with this id.
 
     A repeated row (same id and text) of a kept document is listed with duplicate_of = doc_id.
     """
-    found = groups(docs, threshold)
+    found = groups(docs, threshold, limit)
     return found.select("doc_id", F.col("keep_id").alias("duplicate_of"), (F.col("copies") - _same().cast("int")).alias("copies")).where("copies > 0")
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES) -> DataFrame:
     """``docs`` with one row of each group; rows with a null text stay.
 
     Texts are shuffled only where the rows to drop are too many to broadcast.
     """
-    found = groups(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), _same().alias("__same"), "copies")
+    found = groups(docs, threshold, limit).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), _same().alias("__same"), "copies")
     drop = checkpointed(found.where("NOT __same OR copies > 1"))
     repeated = drop.where("__same").select("__id", "__th")
 
