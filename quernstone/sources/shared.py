@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +14,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quernstone-"))
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark, label: str) -> str:
+    """A new path inside the shared folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quernstone-"))
+    return f"{sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
