@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import data_queries, dedup_queries, text_queries, verify_queries  # noqa: F401
+from quernstone.plans import data_queries, dedup_queries, generate_queries, text_queries, verify_queries  # noqa: F401
 from quernstone.plans.registry import QUERIES, SQL, Query
 
 
