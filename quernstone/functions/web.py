@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Social, video, shopping and aggregator sites that hold little text of their own.
-BLOCKED = [
-    "facebook.com", "twitter.com", "x.com", "instagram.com", "tiktok.com", "pinterest.com", "youtube.com", "youtu.be",
-    "linkedin.com", "reddit.com", "quora.com", "amazon.com", "ebay.com", "netflix.com", "spotify.com", "twitch.tv",
-]
+#: Social, question and content-farm sites, sorted by name.
+BLOCKED = sorted(
+    """answerbag blurtit ehow facebook instagram linkedin livestrong medium pinterest quora reddit substack tiktok twitter wikihow youtube""".split()
+)
+BLOCKED = [f"{name}.com" for name in BLOCKED]
 _SKIPPED = {"script", "style", "nav", "footer", "header"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
