@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(df: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """``df.mapInPandas(run, schema)``; the id, a long and first in both, is text within ``run``, as pandas would round long ids beside nulls."""
+    names = [x for x in df.columns if x != id_col]
+    out = df.select(F.col(id_col).cast("string").alias(id_col), *names).mapInPandas(run, schema.replace(f"{id_col} long", f"{id_col} string", 1))
+    return out.withColumn(id_col, F.col(id_col).cast("long"))
+
+
 def unit_hash(*cols: Column, seed: int) -> Column:
     """A double in [0, 1) from MD5 of the seed and the columns: 52 bits, the same in any SQL engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

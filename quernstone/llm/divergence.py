@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import checkpointed, code_points, text_groups
+from quernstone.llm._common import checkpointed, code_points, map_rows, text_groups
 
 MIN_CHARS, MIN_WORDS, MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE, WORDS_SLACK = 200, 40, 0.25, 0.3, 0.6
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "letter", "other"]
@@ -89,7 +89,7 @@ def histograms(docs: DataFrame) -> DataFrame:
             words = [word_histogram(t, k if isinstance(k, str) else None) for t, k in zip(texts, f["lang"])]
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "n_chars": chars.sum(1), "n_words": [sum(w) for w in words], "chars": list(chars), "words": words})
 
-    return docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, n_chars long, n_words long, chars array<long>, words array<long>")
+    return map_rows(docs.select("doc_id", "lang", "text"), run, "doc_id long, lang string, n_chars long, n_words long, chars array<long>, words array<long>")
 
 
 def _summed(column: str, size: int) -> Column:

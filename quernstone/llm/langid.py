@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import code_points, text_groups, unit_hash
+from quernstone.llm._common import code_points, map_rows, text_groups, unit_hash
 
 BUCKETS = 4096
 UNKNOWN = "unknown"
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 "trigrams": grams.astype(np.int64), "log_likelihood": score.round(6), "keep": _kept(model, share, grams),
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, language string, languages array<string>, shares array<double>, trigrams long, log_likelihood double, keep boolean")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, language string, languages array<string>, shares array<double>, trigrams long, log_likelihood double, keep boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:

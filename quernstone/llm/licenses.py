@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm._common import map_rows
+
 LEVEL, TOP, CONFIRM, MAX_MISSING = 19, 3, 0.8, 0.34
 KEYWORDS = r"licen[sc]e|copyright|©|all rights reserved|spdx|public domain|permission is hereby|redistribution and use|without warranty|creative commons|\bcc by\b|\bcc0\b"
 TEMPLATES = {
@@ -153,4 +155,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
                     rows.append({"doc_id": i, "start": a, "chars": b - a, **known[block]})
             yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select("doc_id", "text").where(F.col("text").rlike(f"(?i){KEYWORDS}")).mapInPandas(run, SCHEMA)
+    return map_rows(docs.select("doc_id", "text").where(F.col("text").rlike(f"(?i){KEYWORDS}")), run, SCHEMA)

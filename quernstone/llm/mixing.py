@@ -51,20 +51,22 @@ def _times(seed: int) -> Column:
 
 
 def _joined(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc_id, row, __epochs): each row as a struct, so that no name of its columns can clash, with its source's epochs."""
+    own = docs.select("doc_id", F.col("source").alias("__own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     plan = plan.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"))
-    return docs.join(plan, docs["source"].eqNullSafe(plan["__source"]))
+    return own.join(plan, F.col("__own").eqNullSafe(F.col("__source"))).drop("__own", "__source")
 
 
 def repetitions(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, repetitions, epochs): every document with how often the mix holds it, 0 included."""
     narrow = docs.select("doc_id", "source")
-    return _joined(narrow, shares(docs, weights, max_epochs, budget)).select("doc_id", "source", _times(seed).alias("repetitions"), F.round("__epochs", 6).alias("epochs"))
+    return _joined(narrow, shares(docs, weights, max_epochs, budget)).select("doc_id", "row.source", _times(seed).alias("repetitions"), F.round("__epochs", 6).alias("epochs"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix holds it."""
     timed = _joined(docs, shares(docs, weights, max_epochs, budget)).withColumn("__times", _times(seed))
-    return timed.where("__times > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    return timed.where("__times > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select("row.*")
 
 
 ORACLE_SQL = f"""

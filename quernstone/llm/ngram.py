@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import checkpointed, code_points, shared_files, text_groups
+from quernstone.llm._common import checkpointed, code_points, map_rows, shared_files, text_groups
 
 ORDER, SYMBOLS, DIRECT, BITS = 5, 4096, 3072, 12
 _MASK = np.uint64((1 << (BITS * ORDER)) - 1)
@@ -381,4 +381,4 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             total, size = scorer([t if isinstance(t, str) else "" for t in f["text"]])
             yield pd.DataFrame({"doc_id": f["doc_id"], "symbols": size, "log_probability": total.round(4), "bits_per_symbol": (-total / np.log(2) / size).round(6)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, symbols long, log_probability double, bits_per_symbol double")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, symbols long, log_probability double, bits_per_symbol double")

@@ -180,13 +180,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     shards = max(1, -(-rest.count() // shard_pieces))
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["tokens", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="last")
-        ids = [None if pd.isna(x) else int(x) for x in f["doc_id"].tolist()]
+        f = f.assign(id=[np.iinfo(np.int64).max if x is None else int(x) for x in f["doc_id"]], none=f["doc_id"].isna())
+        f = f.sort_values(["tokens", "none", "id", "start"], ascending=[False, True, True, True], kind="stable")
+        ids = [None if x is None else int(x) for x in f["doc_id"]]
         starts, chars, tokens = f["start"].tolist(), f["chars"].tolist(), f["tokens"].tolist()
         bins = bin_completion(tokens, capacity, steps)
         out = [[{"doc_id": ids[k], "start": starts[k], "chars": chars[k], "tokens": tokens[k]} for k in b] for b in bins]
         sums = np.array([sum(tokens[k] for k in b) for b in bins], np.int32)
         return pd.DataFrame({"shard": int(f["shard"].iloc[0]), "bin": np.arange(len(bins)), "pieces": out, "tokens": sums, "waste": capacity - sums})
 
-    packed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards))).groupBy("shard").applyInPandas(solve, SCHEMA)
+    packed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards))).withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("shard").applyInPandas(solve, SCHEMA)
     return whole.unionByName(packed)

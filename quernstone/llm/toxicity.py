@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import unit_hash
+from quernstone.llm._common import map_rows, unit_hash
 
 MAX_LABELLED, MIN_Z, GRADES, L2, ROUNDS = 12_000, 5.0, 3, 0.3, 400
 #: A document is toxic where its expected severity is at least this.
@@ -166,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
             severity, grade, hits = model.severity(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "severity": severity.round(6), "grade": grade, "indicative_terms": hits, "toxic": severity >= TOXIC})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, severity double, grade int, indicative_terms long, toxic boolean")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, severity double, grade int, indicative_terms long, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

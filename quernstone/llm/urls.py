@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import unit_hash
+from quernstone.llm._common import map_rows, unit_hash
 
 MAX_LABELLED, TREES, DEPTH, RATE, BINS, MIN_LEAF, BAD = 20_000, 40, 3, 0.2, 32, 5, 0.5
 SEED_TERMS = ("casino", "bets", "ads", "spam", "pills", "adult", "porn", "xxx", "viagra", "warez")
@@ -161,6 +161,6 @@ def score(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page
             ok = f["host"].notna().to_numpy()
             if ok.any():
                 p[ok] = model.probability(_matrix(f[ok])).round(6)
-            yield pd.DataFrame({id_col: f["id"], "url": f["url"], "probability": pd.Series(p).where(~np.isnan(p), None), "bad": p >= BAD, "keep": ~(p >= BAD)})
+            yield pd.DataFrame({"id": f["id"], "url": f["url"], "probability": pd.Series(p).where(~np.isnan(p), None), "bad": p >= BAD, "keep": ~(p >= BAD)})
 
-    return with_suffix(pages, id_col).mapInPandas(run, f"{id_col} long, url string, probability double, bad boolean, keep boolean")
+    return map_rows(with_suffix(pages, id_col), run, "id long, url string, probability double, bad boolean, keep boolean", "id").withColumnRenamed("id", id_col)
