@@ -218,8 +218,8 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def smoothed(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: (sorted k-grams, log probability, log back-off weight of the k-gram as a context)."""
+def smoothed(keys: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The log back-off weight of the empty context, and for each order from 1: (sorted k-grams, log probability, k-grams that are contexts, their log back-off weights)."""
     grams: list[np.ndarray] = [np.zeros(0, np.uint64)] * (ORDER + 1)
     used: list[np.ndarray] = [np.zeros(0)] * (ORDER + 1)
     grams[ORDER], used[ORDER] = keys, n.astype(np.float64)
@@ -242,12 +242,13 @@ def smoothed(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
         p = np.maximum(c - discount, 0) / sums[which] + weight[which] * below
         out.append((g, np.log(p), context[starts], np.log(weight)))
         lower = p
-    return [(g, p, *out[k + 1][2:]) if k + 1 < len(out) else (g, p, np.zeros(0, np.uint64), np.zeros(0)) for k, (g, p, _, _) in enumerate(out)]
+    return float(out[0][3][0]), [(g, p, *out[k + 1][2:]) if k + 1 < len(out) else (g, p, np.zeros(0, np.uint64), np.zeros(0)) for k, (g, p, _, _) in enumerate(out)]
 
 
 def write_model(keys: np.ndarray, n: np.ndarray, path: str) -> None:
     """Trie files for sorted distinct ORDER-grams and their counts."""
-    levels = smoothed(keys, n)
+    root, levels = smoothed(keys, n)
+    np.save(f"{path}/root.npy", np.array(root))
     # A context of nothing but starts ends no n-gram; as a node it has no probability of its own.
     nodes = []
     for k, (g, p, ctx, w) in enumerate(levels, 1):
@@ -284,6 +285,7 @@ class Trie:
     def __init__(self, path: str):
         load = lambda x: np.load(f"{path}/{x}.npy", mmap_mode="r")
         levels = range(1, ORDER + 1)
+        self.root = float(np.load(f"{path}/root.npy"))
         self.symbols = [EliasFano.load(f"{path}/symbols{k}") for k in levels]
         self.pointers = [EliasFano.load(f"{path}/pointers{k}") for k in levels]
         self.values = {x: [(load(f"{x}{k}"), load(f"{x}{k}.table")) for k in levels] for x in ("probability", "backoff")}
@@ -326,7 +328,7 @@ class Trie:
         out[hit] = self._value("probability", order - 1, node[hit])
         miss = np.flatnonzero(~hit)
         if len(miss):
-            weight = np.zeros(len(miss))
+            weight = np.full(len(miss), self.root if order == 1 else 0.0)
             if order > 1:
                 known = context[miss] >= 0
                 weight[known] = self._value("backoff", order - 2, context[miss][known])

@@ -1,0 +1,83 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quernstone.llm import audio as A
+from quernstone.llm._common import ship
+
+
+def clip(n, seed=0):
+    return np.random.default_rng(seed).integers(0, 256, n, np.uint8).tobytes()
+
+
+def test_polyphase_matches_direct_convolution():
+    data = clip(2000)
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    got = A.resample([data])[0]
+    phases = A.polyphase()
+    for m in (0, 1, 159, 160, 161, 500, 719):
+        block, k = divmod(m, A.UP)
+        lo = block * A.DOWN - A.HALF
+        window = np.array([x[i] if 0 <= i < len(x) else 0.0 for i in range(lo, lo + A.DOWN + 2 * A.HALF)])
+        assert got[m] == pytest.approx(float(window @ phases[:, k]), abs=1e-4)
+
+
+def test_a_tone_keeps_its_frequency():
+    t = np.arange(44_100) / A.RATE_IN
+    data = np.round(128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8).tobytes()
+    y = A.resample([data])[0][: A.RATE_OUT]
+    assert abs(np.abs(np.fft.rfft(y)).argmax() - 1000) <= 1
+    high = np.round(128 + 100 * np.sin(2 * np.pi * 12_000 * t)).astype(np.uint8).tobytes()
+    assert np.abs(A.resample([high])[0][1000:15_000]).max() < 0.05  # above half the new rate
+
+
+def test_log_mel_matches_direct_sums():
+    data = clip(6000, 1)
+    mels, db, n = A.log_mel([data])
+    y = A.resample([data])[0]
+    frame = y[A.HOP : A.HOP + A.WINDOW].astype(float)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(A.WINDOW) / A.WINDOW)
+    k = np.arange(A.FFT // 2 + 1)[:, None]
+    spectrum = (frame * hann * np.exp(-2j * np.pi * k * np.arange(A.WINDOW) / A.FFT)).sum(1)
+    want = np.log10(np.maximum(np.abs(spectrum) ** 2 @ A.mel_filters(), 1e-10))
+    assert mels[1] == pytest.approx(want, abs=1e-3)
+    assert db[1] == pytest.approx(10 * np.log10((frame**2).mean()), abs=1e-3)
+    assert len(mels) == n.sum()
+
+
+def by_hand(db, high, low):
+    floor, on, out = np.quantile(db, 0.1, method="lower"), False, []
+    for k, x in enumerate(db):
+        if not on and x >= floor + high:
+            on, begin = True, k
+        elif on and x < floor + low:
+            out.append((begin, k))
+            on = False
+    return out + ([(begin, len(db))] if on else [])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_hysteresis_matches_a_loop(seed):
+    db = np.random.default_rng(seed).normal(0, 6, 200).cumsum() % 40
+    assert A.activity(db) == by_hand(db, A.HIGH_DB, A.LOW_DB)
+
+
+def test_windows_and_tensors(spark):
+    ship(spark)
+    clips = [(1, clip(44_100)), (2, b""), (3, None), (4, clip(5)), (5, bytes([128]) * 9000), (1, clip(44_100))]
+    df = A.features(spark.createDataFrame(clips, "doc_id long, sound binary"), F.col("sound"), batch_bytes=20_000)
+    rows = df.collect()
+    assert {r["doc_id"] for r in rows} == {1, 4, 5}
+    own = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: (r["window"], r["frames"]))
+    mels, _, n = A.log_mel([clips[0][1]])
+    assert sum(r["frames"] for r in own) == 2 * n[0]
+    first = own[0]["features"]
+    assert np.array(first).reshape(A.SHAPE) == pytest.approx(mels[: A.FRAMES], abs=1e-5)
+    assert own[0]["start_ms"] == 0 and own[0]["end_ms"] == 175 and own[2]["start_ms"] == 160
+    assert next(r for r in rows if r["doc_id"] == 5)["segments"] == []
+    table = A.tensors(pa.Table.from_batches([b for b in [pa.RecordBatch.from_pylist([r.asDict(True) for r in rows])]]))
+    kind = table.schema.field("features").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == A.SHAPE
+    assert table["features"].combine_chunks().to_numpy_ndarray().shape == (len(rows), *A.SHAPE)
+    assert "fixed_shape_tensor" in str(df.schema["features"].metadata)
