@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.sources.shared import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +19,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"query '{key}' is registered twice")
-        QUERIES[key] = f
+
+        @wraps(f)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = shipped
         if sql is not None:
             SQL[key] = sql
         return f
