@@ -124,22 +124,33 @@ def chunks(text: Column, max_size: int = 4000) -> Column:
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text."""
+    """Shannon entropy of the characters in bits; 0 for an empty text.
+
+    Characters are counted and taken out one after the other, in the order in which they first occur: frequent ones occur
+    early, so little is left to go over after a few.
+    """
     n = _length(text)
-    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - _length(F.replace(text, c, F.lit(""))))
-    total = F.aggregate(F.filter(each, lambda k: k > 0), F.lit(0.0), lambda s, k: s + k * F.log2(k))
+    start = F.struct(text.alias("rest"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, c: Column) -> Column:
+        return let(F.replace(acc.rest, c, F.lit("")), lambda rest: F.struct(rest.alias("rest"), (acc["sum"] + let(_length(acc.rest) - _length(rest), lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0))).alias("sum")))
+
+    total = F.aggregate(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), start, step, lambda acc: acc["sum"])
     return F.when(n > 0, F.log2(n) - total / n).when(text.isNotNull(), F.lit(0.0))
 
 
 def syllables(word: Column) -> Column:
     """Runs of vowels, less a silent e at the end, 1 at least; words of at most two characters have 1."""
-    w = strip(F.lower(word))
+    return _syllables(strip(F.lower(word)))
+
+
+def _syllables(w: Column) -> Column:
     runs = F.regexp_count(w, F.lit("[aeiouy]+"))
     return F.when(F.length(w) <= 2, 1).otherwise(F.greatest(F.lit(1), runs - F.when(F.endswith(w, F.lit("e")) & (runs > 1), 1).otherwise(0)))
 
 
 def syllable_total(tokens: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0), lambda s, w: s + syllables(w))
+    return F.aggregate(tokens, F.lit(0), lambda s, w: s + _syllables(F.lower(w)))
 
 
 def flesch_kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:

@@ -34,4 +34,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts that lie in fewer pieces than there are cores, as a single row group does, are spread over all cores:
+    their rules cost far more than moving a table that small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
