@@ -31,7 +31,7 @@ BOILERPLATE = "(?iu)" + "|".join(
         r"cookies?\s+(?:banner|consent|notice|policy)",
     ]
 )
-URL, EMAIL = r"https?://\S+", r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+URL, EMAIL = r"https?://\S+", r"(?U)\b[-+.\w]+@[-\w]+\.[-.\w]+\b"
 CODE_PATTERNS = [
     r"```[\s\S]*?```",
     r"`[^`\n]+`",
@@ -96,7 +96,7 @@ def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
 def normalize(text: Column) -> Column:
     """Line ends, entities, runs of newlines and of blanks; stripped. NFKC comes before (``nfkc``)."""
     out = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    out = F.regexp_replace(out, r"&[a-zA-Z]+;|&#\d+;", " ")
+    out = F.regexp_replace(out, r"&(?:#\d+|[A-Za-z]+);", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(out, r"[ \t]+", " "))
 

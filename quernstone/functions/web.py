@@ -15,7 +15,7 @@ BLOCKED = sorted(
     """answerbag blurtit ehow facebook instagram linkedin livestrong medium pinterest quora reddit substack tiktok twitter wikihow youtube""".split()
 )
 BLOCKED = [f"{name}.com" for name in BLOCKED]
-_SKIPPED = {"script", "style", "nav", "footer", "header"}
+_SKIPPED = set("footer header nav script style".split())
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 
-SIGNATURE_KEYS = {"reasoning": "answer", "coding": "patch", "agent": "result", "instruction": "messages", "chat": "conversations"}
+SIGNATURE_KEYS = dict(agent="result", chat="conversations", coding="patch", instruction="messages", reasoning="answer")
 
 
 def answer_signature(content: Column, fmt: Column, keys: dict[str, str] = SIGNATURE_KEYS) -> Column:

@@ -17,13 +17,17 @@ SYSTEM = {
     "chat": "You write natural dialogues about a subject. Answer with JSON only.",
     "principles": "You write scenarios solved from first principles. Answer with JSON only.",
 }
+#: Required fields by format.
 FIELDS = {
-    "reasoning": ["question", "analysis", "answer", "metadata"],
-    "instruction": ["messages"],
-    "agent": ["observation", "thought", "action", "result"],
-    "coding": ["issue", "investigation", "patch", "verification"],
-    "chat": ["conversations"],
-    "principles": ["scenario", "core_principles", "why_rationale", "solution", "boundary_conditions", "metadata"],
+    k: v.split()
+    for k, v in dict(
+        agent="observation thought action result",
+        chat="conversations",
+        coding="issue investigation patch verification",
+        instruction="messages",
+        principles="scenario core_principles why_rationale solution boundary_conditions metadata",
+        reasoning="question analysis answer metadata",
+    ).items()
 }
 _NEEDED = {k: [f for f in v if f != "metadata" and (k, f) != ("coding", "verification")] for k, v in FIELDS.items()}
 _MESSAGES = {"instruction": ("messages", "role", "content"), "chat": ("conversations", "from", "value")}

@@ -100,7 +100,7 @@ def first_breach(ledger: DataFrame, limit: float, order: list[str] | None = None
 
 
 class BudgetExceeded(RuntimeError):
-    def __init__(self, spent: float, limit: float, stage: str = ""):
+    def __init__(self, spent, limit, stage=""):
         super().__init__(f"budget exceeded: {spent:.4f} of {limit:.4f}" + (f" in {stage}" if stage else ""))
         self.spent, self.limit, self.stage = spent, limit, stage
 

@@ -9,15 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators.formats import FIELDS
 
-REQUIRED = {
-    "reasoning": ["question", "analysis", "answer", "metadata"],
-    "instruction": ["messages"],
-    "agent": ["observation", "thought", "action", "result"],
-    "coding": ["issue", "investigation", "patch", "verification"],
-    "chat": ["conversations"],
-    "principles": ["scenario", "core_principles", "why_rationale", "solution", "boundary_conditions", "metadata"],
-}
+REQUIRED = FIELDS
 MIN_CHARS = 5
 _NONE = "array<string>"
 

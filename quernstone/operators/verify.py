@@ -10,16 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators.formats import FIELDS
 
-FORMAT_KEYS = {
-    "reasoning": ["question", "analysis", "answer", "metadata"],
-    "instruction": ["messages"],
-    "agent": ["observation", "thought", "action", "result"],
-    "coding": ["issue", "investigation", "patch", "verification"],
-    "chat": ["conversations"],
-}
-#: The keys of the format that the rule otherwise measures by reasoning's.
-PRINCIPLES_KEYS = ["scenario", "core_principles", "why_rationale", "solution", "boundary_conditions", "metadata"]
+#: Principles is the format that the rule otherwise measures by reasoning's keys.
+FORMAT_KEYS = {k: v for k, v in FIELDS.items() if k != "principles"}
+PRINCIPLES_KEYS = FIELDS["principles"]
 MIN_OVERLAP, MIN_PASS_RATE, MIN_SCORE, MIN_AGREEMENT, MIN_ANSWER = 0.3, 0.6, 0.7, 0.34, 20
 ANSWER_KEYS = ["answer", "result", "analysis"]
 WEIGHTS = {"accuracy": 0.4, "relevance": 0.3, "completeness": 0.3}

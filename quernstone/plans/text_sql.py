@@ -22,7 +22,7 @@ def sentences(x: str) -> str:
 
 def normalize(x: str) -> str:
     x = f"replace({x}, chr(13) || chr(10), chr(10))"
-    x = rf"regexp_replace({x}, '&[a-zA-Z]+;|&#\d+;', ' ', 'g')"
+    x = rf"regexp_replace({x}, '&(?:#\d+|[A-Za-z]+);', ' ', 'g')"
     x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
     return strip(rf"regexp_replace({x}, '[ \t]+', ' ', 'g')")
 
@@ -38,7 +38,7 @@ def strip_boilerplate(x: str) -> str:
     parts = rf"string_split(regexp_replace({x}, '([.!?])\s+', '\1' || {S}, 'g'), {S})"
     kept = f"list_filter(list_transform({parts}, lambda s: {strip('s')}), lambda s: s <> '' AND NOT regexp_matches(s, '{BOILERPLATE}'))"
     joined = f"coalesce(array_to_string({kept}, ' '), '')"
-    return strip(rf"regexp_replace(regexp_replace({joined}, 'https?://\S+', '', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.-]+\b', '', 'g')")
+    return strip(rf"regexp_replace(regexp_replace({joined}, 'https?://\S+', '', 'g'), '\b[-+.\w]+@[-\w]+\.[-.\w]+\b', '', 'g')")
 
 
 def chunks(x: str, size: int) -> str:

@@ -35,7 +35,7 @@ class Registry:
     def list_all(self) -> dict[str, Any]:
         return dict(self._items)
 
-    def discover(self, group: str) -> int:
+    def discover(self, group: str):
         """Registers the entry points of installed packages; those that fail to load are logged. Returns how many were added."""
         added = 0
         for point in entry_points(group=group):

@@ -71,7 +71,7 @@ def to_hub(df: DataFrame, repo: str) -> None:
     raise NotImplementedError(f"no upload client is installed for '{repo}'; write with to_jsonl and upload the files")
 
 
-def with_splits(df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+def with_splits(df: DataFrame, train=0.8, val=0.1, test=0.1, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """``df`` with ``split``: exactly int(n * train), int(n * val) rows, the rest test, in the order of a seeded hash.
 
     Hash positions are counted in two steps: rows by the hash's first three digits, then within these, so that no task

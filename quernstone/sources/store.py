@@ -13,14 +13,17 @@ _SCHEMA = "collection string, doc_id string, data string, version long, deleted
 
 
 class Storage(Protocol):
-    def save(self, collection: str, rows: DataFrame) -> None: ...
-    def load(self, collection: str, doc_id: str) -> str | None: ...
-    def documents(self, collection: str) -> DataFrame: ...
-    def delete(self, collection: str, doc_id: str) -> None: ...
-    def save_state(self, run_id: str, state: str) -> None: ...
-    def load_state(self, run_id: str) -> str | None: ...
-    def save_blob(self, name: str, data: bytes) -> str: ...
-    def load_blob(self, name: str) -> bytes: ...
+    """Documents of collections as (doc_id, data), states of runs, and blobs; lists, loads, saves and deletes them."""
+
+    def documents(self, collection): ...
+    def save(self, collection, rows): ...
+    def load(self, collection, doc_id): ...
+    def list(self, collection): ...
+    def delete(self, collection, doc_id): ...
+    def load_state(self, run_id): ...
+    def save_state(self, run_id, state): ...
+    def load_blob(self, name): ...
+    def save_blob(self, name, data): ...
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
