@@ -54,9 +54,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
-    """``df.mapInPandas(run, schema)``; the id, a long and first in both, is text within ``run``, as pandas would round long ids beside nulls."""
+    """``df.mapInPandas(run, schema)`` without frames that have no rows; the id, a long and first in both, is text within ``run``, as pandas would round long ids beside nulls."""
     names = [x for x in df.columns if x != id_col]
-    out = df.select(F.col(id_col).cast("string").alias(id_col), *names).mapInPandas(run, schema.replace(f"{id_col} long", f"{id_col} string", 1))
+    out = df.select(F.col(id_col).cast("string").alias(id_col), *names).mapInPandas(lambda frames: run(f for f in frames if len(f)), schema.replace(f"{id_col} long", f"{id_col} string", 1))
     return out.withColumn(id_col, F.col(id_col).cast("long"))
 
 

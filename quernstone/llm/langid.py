@@ -114,7 +114,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Mod
                 texts = list(texts)
                 for a, b in text_groups(texts):
                     total[lang] = total.get(lang, 0) + trigram_counts(texts[a:b]).sum(0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(total), "counts": [x.tobytes() for x in total.values()]})
+        if total:  # a task may have no rows
+            yield pd.DataFrame({"lang": list(total), "counts": [x.tobytes() for x in total.values()]})
 
     found: dict[str, np.ndarray] = {}
     for r in sample.mapInPandas(count, "lang string, counts binary").collect():

@@ -39,6 +39,13 @@ def test_a_row_for_every_row_with_its_id(spark, nasty, labels, name):
     assert sorted((r["doc_id"] for r in OPERATORS[name](nasty, labels).collect()), key=key) == sorted((r[0] for r in ROWS), key=key)
 
 
+def test_tasks_without_rows(spark, nasty, labels):
+    ship(spark)
+    few = nasty.where("doc_id = 6").repartition(12)
+    for name in ("langid", "toxicity", "ngram", "divergence", "licenses", "simhash"):
+        assert OPERATORS[name](few, labels).count() == OPERATORS[name](few.coalesce(1), labels).count()
+
+
 @pytest.fixture
 def sf_dir(spark, tmp_path, nasty, labels):
     nasty.write.parquet(f"{tmp_path}/documents.parquet")
