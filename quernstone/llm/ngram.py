@@ -1,8 +1,11 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The model is a character model of order ``ORDER`` with interpolated Kneser-Ney smoothing, over counts of all n-grams of
-all texts. Symbols are the code points of the lower-cased text below ``DIRECT``; those above share hashed symbols up to
-``SYMBOLS``; 0 stands before a text, 1 ends it.
+all texts. Symbols are the code points of the lower-cased text, each its own; 0 stands before a text, 1 ends it, and the
+characters U+0000 and U+0001 are symbols behind all code points. An n-gram of symbols below ``SYMBOLS`` is one integer of
+``BITS`` bits a symbol (narrow); one with a higher symbol is a string of ``BYTES`` bytes a symbol (wide). A model is wide as a
+whole where any of its n-grams is. Its alphabet has ``SYMBOLS`` symbols if narrow, else ``ALL``; a symbol that no text of
+the corpus has is unseen, never another's.
 
 Level k of the trie holds all k-grams in the order of their symbols. A node's children are a range of the next level;
 the ranges' starts are the monotone pointers, kept in Elias-Fano form. A node's symbols become monotone over the whole
@@ -12,7 +15,7 @@ Log probabilities and back-off weights are 8-bit codes into a table of quantiles
 the shared folder that executors map into memory.
 
 Counting is combined within a task, and again by range of a hash; the model is put together on the driver, which holds
-the distinct n-grams once (they grow far slower than the text). A scoring task remembers the n-grams that it has looked up.
+the distinct n-grams once, several times that while sorting. A scoring task remembers the n-grams that it has looked up.
 
 Defined results: a null or empty text is scored as its end alone (1 symbol); repeated rows count as often as they occur
 and get equal scores; an empty table gives an empty result; extra columns are ignored.
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._common import checkpointed, code_points, map_rows, shared_files, text_groups
 
-ORDER, SYMBOLS, DIRECT, BITS = 5, 4096, 3072, 12
+ORDER, SYMBOLS, BITS = 5, 4096, 12
+#: All code points and the two characters whose code points have another meaning; bytes of a symbol of a wide n-gram.
+ALL, BYTES = 0x110002, 3
 _MASK = np.uint64((1 << (BITS * ORDER)) - 1)
 
 
@@ -130,21 +135,101 @@ def symbols(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each ended by 1, and the text of each."""
     codes, doc = code_points([t.lower() if t else "" for t in texts])
     ends = np.flatnonzero(np.diff(doc, append=len(texts)))
-    s = np.maximum(codes, 2)
-    s = np.where(s < DIRECT, s, DIRECT + (s * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(SYMBOLS - DIRECT)).astype(np.uint64)
+    s = np.where(codes < 2, codes + np.uint32(ALL - 2), codes).astype(np.uint64)
     s[ends] = 1
     return s, doc
 
 
-def gram_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of the texts the n-gram that it ends, as one integer (the first symbol highest), and its text."""
-    s, doc = symbols(texts)
-    key = s.copy()
+def _windows(s: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
+    """The symbols themselves, those one back in the same text, and so on; 0 before a text."""
+    yield s
     for back in range(1, ORDER):
         before = np.zeros_like(s)
         before[back:] = np.where(doc[back:] == doc[:-back], s[:-back], np.uint64(0)) if len(s) > back else 0
-        key |= before << np.uint64(BITS * back)
-    return key, doc
+        yield before
+
+
+def _narrow_keys(s: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    key = np.zeros_like(s)
+    for back, x in enumerate(_windows(s, doc)):
+        key |= x << np.uint64(BITS * back)
+    return key
+
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """Wide n-grams of their symbols, first symbol first; they sort like the symbols."""
+    out = np.empty((len(columns[0]), BYTES * len(columns)), np.uint8)
+    for k, x in enumerate(columns):
+        for byte in range(BYTES):
+            out[:, BYTES * k + byte] = x >> np.uint64(8 * (BYTES - 1 - byte)) & np.uint64(255)
+    return out.view(f"S{out.shape[1]}").ravel()
+
+
+def widened(keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Narrow n-grams as wide ones, in the same order."""
+    return _packed([keys >> np.uint64(BITS * (order - 1 - k)) & np.uint64(SYMBOLS - 1) for k in range(order)])
+
+
+def gram_keys(texts: list, wide: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of the texts the n-gram that it ends (the first symbol highest), and its text; narrow only where all symbols are."""
+    s, doc = symbols(texts)
+    if wide is None:
+        wide = bool((s >= SYMBOLS).any())
+    return (_packed([*_windows(s, doc)][::-1]) if wide else _narrow_keys(s, doc)), doc
+
+
+def split_keys(texts: list) -> list[np.ndarray]:
+    """The n-grams of the texts: those of low symbols narrow, and if there are others, those wide."""
+    s, doc = symbols(texts)
+    high = s >= SYMBOLS
+    if not high.any():
+        return [_narrow_keys(s, doc)]
+    near = high.copy()
+    for back in range(1, ORDER):
+        near[back:] |= high[:-back] & (doc[back:] == doc[:-back])
+    return [_narrow_keys(s, doc)[~near], _packed([x[near] for x in _windows(s, doc)][::-1])]
+
+
+def _first(keys: np.ndarray, order: int, k: int) -> np.ndarray:
+    """The first k symbols of n-grams of ``order`` symbols."""
+    if keys.dtype == np.uint64:
+        return keys >> np.uint64(BITS * (order - k))
+    return _bytes(keys, 0, BYTES * k)
+
+
+def _last(keys: np.ndarray, k: int) -> np.ndarray:
+    """The last k symbols of n-grams."""
+    if keys.dtype == np.uint64:
+        return keys & np.uint64((1 << (BITS * k)) - 1)
+    return _bytes(keys, keys.dtype.itemsize - BYTES * k, keys.dtype.itemsize)
+
+
+def _bytes(keys: np.ndarray, begin: int, end: int) -> np.ndarray:
+    if begin == end:
+        return np.zeros(len(keys), np.uint64)
+    own = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)[:, begin:end]
+    return np.ascontiguousarray(own).view(f"S{end - begin}").ravel()
+
+
+def _symbol(keys: np.ndarray) -> np.ndarray:
+    """The last symbol of n-grams."""
+    if keys.dtype == np.uint64:
+        return (keys & np.uint64(SYMBOLS - 1)).astype(np.int64)
+    own = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)[:, -BYTES:].astype(np.int64)
+    return own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2]
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """64 bits of each n-gram; different n-grams may share them if wide."""
+    if keys.dtype == np.uint64:
+        return keys
+    own = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)
+    out = np.zeros(len(keys), np.uint64)
+    for k in range(own.shape[1] // BYTES):
+        x = own[:, BYTES * k : BYTES * k + BYTES].astype(np.uint64)
+        out = (out ^ (x[:, 0] << np.uint64(16) | x[:, 1] << np.uint64(8) | x[:, 2])) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,45 +243,52 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    return ((_mixed(keys) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def _from(keys: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(keys, f"S{BYTES * ORDER}" if wide else np.uint64)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(bucket, keys, counts): the counts of all n-grams, sorted arrays in binary, each n-gram in one row of one bucket."""
+    """(bucket, wide, keys, counts): the counts of all n-grams, sorted arrays in binary, each n-gram in one row of one bucket."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        both: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for f in frames:
             texts = [t if isinstance(t, str) else "" for t in f["text"]]
             for a, b in text_groups(texts):
-                keys = np.sort(gram_keys(texts[a:b])[0])
-                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                parts.append((keys[starts], np.diff(starts, append=len(keys))))
-                if sum(len(k) for k, _ in parts[1:]) > max(2_000_000, len(parts[0][0])):
-                    parts = [_merge(parts)]
-        if parts:
+                for parts, keys in zip(both, split_keys(texts[a:b])):
+                    keys = np.sort(keys)
+                    starts = _runs(keys)
+                    parts.append((keys[starts], np.diff(starts, append=len(keys))))
+                    if sum(len(k) for k, _ in parts[1:]) > max(2_000_000, len(parts[0][0])):
+                        parts[:] = [_merge(parts)]
+        for wide, parts in enumerate(both):
+            if not parts:
+                continue
             keys, n = _merge(parts)
             bucket = _spread(keys, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[k] : cuts[k + 1]]
-                yield pd.DataFrame({"bucket": [int(k)], "keys": [keys[at].tobytes()], "counts": [n[at].astype(np.int64).tobytes()]})
+                yield pd.DataFrame({"bucket": [int(k)], "wide": [bool(wide)], "keys": [keys[at].tobytes()], "counts": [n[at].astype(np.int64).tobytes()]})
 
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         for f in frames:
-            for k, keys, n in f.itertuples(index=False):
-                parts = held.setdefault(k, [])
-                parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)))
+            for k, wide, keys, n in f.itertuples(index=False):
+                parts = held.setdefault((k, wide), [])
+                parts.append((_from(keys, wide), np.frombuffer(n, np.int64)))
                 if len(parts) > 16:
-                    held[k] = [_merge(parts)]
-        for k, parts in held.items():
+                    held[k, wide] = [_merge(parts)]
+        for (k, wide), parts in held.items():
             keys, n = _merge(parts)
-            yield pd.DataFrame({"bucket": [k], "keys": [keys.tobytes()], "counts": [n.tobytes()]})
+            yield pd.DataFrame({"bucket": [k], "wide": [wide], "keys": [keys.tobytes()], "counts": [n.tobytes()]})
 
-    schema = "bucket int, keys binary, counts binary"
+    schema = "bucket int, wide boolean, keys binary, counts binary"
     return docs.select("text").mapInPandas(count, schema).repartition("bucket").mapInPandas(total, schema)
 
 
@@ -218,13 +310,17 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
+def alphabet(keys: np.ndarray) -> int:
+    return SYMBOLS if keys.dtype == np.uint64 else ALL
+
+
 def smoothed(keys: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     """The log back-off weight of the empty context, and for each order from 1: (sorted k-grams, log probability, k-grams that are contexts, their log back-off weights)."""
-    grams: list[np.ndarray] = [np.zeros(0, np.uint64)] * (ORDER + 1)
+    grams: list[np.ndarray] = [keys[:0]] * (ORDER + 1)
     used: list[np.ndarray] = [np.zeros(0)] * (ORDER + 1)
     grams[ORDER], used[ORDER] = keys, n.astype(np.float64)
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols stand before
-        suffix = np.sort(grams[k + 1] & np.uint64((1 << (BITS * k)) - 1))
+        suffix = np.sort(_last(grams[k + 1], k))
         starts = _runs(suffix)
         grams[k], used[k] = suffix[starts], np.diff(starts, append=len(suffix)).astype(np.float64)
     out = []
@@ -233,26 +329,28 @@ def smoothed(keys: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[np.ndar
         g, c = grams[k], used[k]
         ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        context = g >> np.uint64(BITS)
+        context = _first(g, k, k - 1)
         starts = _runs(context)
         sums, kinds = np.add.reduceat(c, starts), np.diff(starts, append=len(g))
         which = np.repeat(np.arange(len(starts)), kinds)
         weight = discount * kinds / sums
-        below = np.full(len(g), 1 / SYMBOLS) if k == 1 else lower[np.searchsorted(grams[k - 1], g & np.uint64((1 << (BITS * (k - 1))) - 1))]
+        below = np.full(len(g), 1 / alphabet(keys)) if k == 1 else lower[np.searchsorted(grams[k - 1], _last(g, k - 1))]
         p = np.maximum(c - discount, 0) / sums[which] + weight[which] * below
         out.append((g, np.log(p), context[starts], np.log(weight)))
         lower = p
-    return float(out[0][3][0]), [(g, p, *out[k + 1][2:]) if k + 1 < len(out) else (g, p, np.zeros(0, np.uint64), np.zeros(0)) for k, (g, p, _, _) in enumerate(out)]
+    return float(out[0][3][0]), [(g, p, *out[k + 1][2:]) if k + 1 < len(out) else (g, p, g[:0], np.zeros(0)) for k, (g, p, _, _) in enumerate(out)]
 
 
 def write_model(keys: np.ndarray, n: np.ndarray, path: str) -> None:
     """Trie files for sorted distinct ORDER-grams and their counts."""
     root, levels = smoothed(keys, n)
+    size = alphabet(keys)
     np.save(f"{path}/root.npy", np.array(root))
+    np.save(f"{path}/alphabet.npy", np.array(size))
     # A context of nothing but starts ends no n-gram; as a node it has no probability of its own.
     nodes = []
     for k, (g, p, ctx, w) in enumerate(levels, 1):
-        own = np.unique(np.concatenate([g, np.zeros(1, np.uint64)])) if k < ORDER else g
+        own = np.unique(np.concatenate([g, np.zeros(1, g.dtype)])) if k < ORDER else g
         logp = np.zeros(len(own))
         logp[np.searchsorted(own, g)] = p
         backoff = np.zeros(len(own))
@@ -260,18 +358,18 @@ def write_model(keys: np.ndarray, n: np.ndarray, path: str) -> None:
             backoff[np.searchsorted(own, ctx)] = w
         nodes.append((own, logp, backoff))
     for k, (g, logp, backoff) in enumerate(nodes, 1):
-        parent = g >> np.uint64(BITS)
+        parent = _first(g, k, k - 1)
         owner = np.searchsorted(nodes[k - 2][0], parent) if k > 1 else np.zeros(len(g), np.int64)
         owners = len(nodes[k - 2][0]) if k > 1 else 1
         begin = np.searchsorted(owner, np.arange(owners + 1))
-        symbol = (g & np.uint64(SYMBOLS - 1)).astype(np.int64)
+        symbol = _symbol(g)
         # Adding the last value of the range before makes the level monotone.
         full = np.flatnonzero(np.diff(begin))
         last = symbol[begin[full + 1] - 1]
         base = np.zeros(owners, np.int64)
         base[full] = np.concatenate([[0], np.cumsum(last)[:-1]])
         value = symbol + base[owner]
-        EliasFano.build(value, int(value[-1]) + SYMBOLS + 1 if len(value) else 1).save(f"{path}/symbols{k}")
+        EliasFano.build(value, int(value[-1]) + size + 1 if len(value) else 1).save(f"{path}/symbols{k}")
         EliasFano.build(begin, len(g) + 1).save(f"{path}/pointers{k}")
         for name, x in (("probability", logp), ("backoff", backoff)):
             code, table = quantise(x)
@@ -286,6 +384,7 @@ class Trie:
         load = lambda x: np.load(f"{path}/{x}.npy", mmap_mode="r")
         levels = range(1, ORDER + 1)
         self.root = float(np.load(f"{path}/root.npy"))
+        self.alphabet = int(np.load(f"{path}/alphabet.npy"))
         self.symbols = [EliasFano.load(f"{path}/symbols{k}") for k in levels]
         self.pointers = [EliasFano.load(f"{path}/pointers{k}") for k in levels]
         self.values = {x: [(load(f"{x}{k}"), load(f"{x}{k}.table")) for k in levels] for x in ("probability", "backoff")}
@@ -299,20 +398,21 @@ class Trie:
         pointers, seq = self.pointers[level], self.symbols[level]
         begin, end = pointers.access(node), pointers.access(node + 1)
         base = np.where(begin > 0, seq.access(np.maximum(begin - 1, 0)), 0)
-        at, value = seq.successor(base + symbol, begin, end)
-        return np.where((at < end) & (value == base + symbol), at, -1)
+        known = np.minimum(symbol, self.alphabet - 1)  # a symbol beyond a narrow model's alphabet has no node
+        at, value = seq.successor(base + known, begin, end)
+        return np.where((at < end) & (value == base + symbol) & (known == symbol), at, -1)
 
     def find(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of sorted distinct k-grams and of their contexts, -1 where there are none; shared prefixes are walked once."""
         node, place = np.zeros(1, np.int64), np.zeros(len(keys), np.int64)
         context = np.zeros(len(keys), np.int64)
         for k in range(order):
-            prefix = keys >> np.uint64(BITS * (order - 1 - k))
+            prefix = _first(keys, order, k + 1)
             starts = _runs(prefix)
             above = node[place[starts]]
             found = np.full(len(starts), -1, np.int64)
             ok = np.flatnonzero(above >= 0)
-            found[ok] = self._child(k, above[ok], (prefix[starts[ok]] & np.uint64(SYMBOLS - 1)).astype(np.int64))
+            found[ok] = self._child(k, above[ok], _symbol(prefix[starts[ok]]))
             context = node[place]
             node, place = found, np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
         return node[place], context
@@ -320,7 +420,7 @@ class Trie:
     def log_probability(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Log probabilities of the last symbols of k-grams; those without a node back off to their k-1 last symbols."""
         if not order:
-            return np.full(len(keys), np.log(1 / SYMBOLS))
+            return np.full(len(keys), np.log(1 / self.alphabet))
         distinct, back = np.unique(keys, return_inverse=True)
         node, context = self.find(distinct, order)
         out = np.empty(len(distinct))
@@ -332,14 +432,19 @@ class Trie:
             if order > 1:
                 known = context[miss] >= 0
                 weight[known] = self._value("backoff", order - 2, context[miss][known])
-            out[miss] = weight + self.log_probability(distinct[miss] & np.uint64((1 << (BITS * (order - 1))) - 1), order - 1)
+            out[miss] = weight + self.log_probability(_last(distinct[miss], order - 1), order - 1)
         return out[back]
 
 
 def fit(docs: DataFrame) -> str:
     """Counts all n-grams, writes the trie to the shared folder and returns its path."""
     path = shared_files(docs.sparkSession, "ngrams")
-    parts = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in checkpointed(counts(docs)).toLocalIterator()]
+    rows = checkpointed(counts(docs))
+    wide = bool(rows.where("wide").take(1))
+    parts = []
+    for r in rows.toLocalIterator():
+        keys = _from(r["keys"], r["wide"])
+        parts.append((widened(keys) if wide and not r["wide"] else keys, np.frombuffer(r["counts"], np.int64)))
     keys, n = _merge(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if not len(keys):
         keys, n = np.array([1], np.uint64), np.array([1])
@@ -354,19 +459,24 @@ class Scorer:
 
     def __init__(self, path: str):
         self.trie = Trie(path)
-        self.keys, self.values = np.full(self.SLOTS, np.uint64(2**64 - 1)), np.zeros(self.SLOTS, np.float32)
+        self.tables: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log probabilities and numbers of symbols."""
         total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for a, b in text_groups(texts):
-            key, doc = gram_keys(texts[a:b])
-            slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-            value = self.values[slot]
-            miss = np.flatnonzero(self.keys[slot] != key)
+            key, doc = gram_keys(texts[a:b], True if self.trie.alphabet == ALL else None)
+            wide = key.dtype != np.uint64
+            if wide not in self.tables:
+                none = np.full(BYTES * ORDER, 255, np.uint8).tobytes() if wide else np.uint64(2**64 - 1)
+                self.tables[wide] = np.full(self.SLOTS, none, key.dtype), np.zeros(self.SLOTS, np.float32)
+            keys, values = self.tables[wide]
+            slot = ((_mixed(key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+            value = values[slot]
+            miss = np.flatnonzero(keys[slot] != key)
             if len(miss):
                 value[miss] = self.trie.log_probability(key[miss])
-                self.keys[slot[miss]], self.values[slot[miss]] = key[miss], value[miss]
+                keys[slot[miss]], values[slot[miss]] = key[miss], value[miss]
             total[a:b] = np.bincount(doc, value, b - a)
             size[a:b] = np.bincount(doc, minlength=b - a)
         return total, size

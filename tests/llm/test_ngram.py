@@ -99,3 +99,55 @@ def test_prose_scores_better_than_noise(spark):
     path = N.fit(docs)
     got = {r["doc_id"]: r["bits_per_symbol"] for r in N.score(docs.unionByName(noise), path).collect()}
     assert got[-1] > 2 * np.median([v for k, v in got.items() if k >= 0])
+
+
+HAN = ["".join(chr(0x4E00 + (7 * k + j) % 20_992) for j in range(9)) for k in range(400)] + ["the cat", "\x00\x01\x02", "ไทย", "the 𝒳 cat"]
+
+
+def test_every_code_point_is_its_own_symbol():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) == 1]
+    own = {c.lower() for c in every}
+    s, _ = N.symbols(["".join(sorted(own))])
+    assert len(set(s.tolist())) == len(own) + 1 and s[:-1].min() > 1
+
+
+class PlainWide(Plain):
+    def p(self, g):
+        return super().p(g) if g else 1 / N.ALL
+
+
+def test_wide_trie_matches_definition(tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "quantise", lambda x: np.unique(x, return_inverse=True)[::-1] if len(x) else (np.zeros(0, int), np.zeros(1)))
+    fit = [*HAN[:-4:20], *HAN[-4:]]
+    keys, counts = np.unique(N.gram_keys(fit)[0], return_counts=True)
+    N.write_model(keys, counts, str(tmp_path))
+    trie, plain = N.Trie(str(tmp_path)), PlainWide(fit)
+    for t in [*fit, "日本語 never seen", chr(0x4E00) + chr(0x4E00 + 1024), "\U0010ffff"]:
+        s = (0,) * (N.ORDER - 1) + tuple(N.symbols([t])[0].tolist())
+        want = [math.log(plain.p(s[k : k + N.ORDER])) for k in range(len(s) - N.ORDER + 1)]
+        assert trie.log_probability(N.gram_keys([t], True)[0]) == pytest.approx(want, abs=1e-4)
+
+
+def test_counts_of_high_code_points_are_exact(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(HAN)], "doc_id long, text string")
+    want = dict(zip(*(x.tolist() for x in np.unique(N.gram_keys(HAN)[0], return_counts=True))))
+    got = {}
+    for r in N.counts(docs.repartition(5)).collect():
+        keys = N._from(r["keys"], r["wide"])
+        for k, n in zip((keys if r["wide"] else N.widened(keys)).tolist(), np.frombuffer(r["counts"], np.int64).tolist()):
+            assert k not in got
+            got[k] = n
+    assert got == want
+    path = N.fit(docs)
+    strange = "".join(chr(0x4E00 + (4_999 * j + 3) % 20_992) for j in range(9))
+    scored = N.score(docs.union(spark.createDataFrame([(-1, strange)], docs.schema)), N.fit(docs))
+    got = {r["doc_id"]: r["bits_per_symbol"] for r in scored.collect()}
+    assert got[-1] > 1.5 * got[0]
+
+
+def test_symbols_beyond_a_narrow_model_are_unseen(tmp_path):
+    keys, counts = np.unique(N.gram_keys(TEXTS)[0], return_counts=True)
+    N.write_model(keys, counts, str(tmp_path))
+    total, size = N.Scorer(str(tmp_path))(["the cat", "the 猫", "the 犬", "the qat"])
+    assert size.tolist() == [8, 6, 6, 8] and total[1] == pytest.approx(total[2]) and total[1] / 6 < total[0] / 8
