@@ -1,6 +1,7 @@
 """License scan by conditional compression.
 
-Candidate blocks are the runs of sentences that speak of licences or copyright, with the lines' own breaks. Each block is
+Candidate blocks are the runs of sentences that speak of licences or copyright. A sentence runs over single line breaks and
+comment marks at the lines' ends, up to its own end or the paragraph's (a line without words of its own). Each block is
 compressed on its own and with each template as a raw zstandard dictionary; templates are ranked by how much smaller that
 makes it. The ``TOP`` ranked are then compared word by word: a template is confirmed where most of its words are in the
 block in order, and the words that are missing from it, or changed, are listed. Among the confirmed the one with the
@@ -46,30 +47,44 @@ TEMPLATES = {
     "public-domain": ["This work is in the public domain."],
     "all-rights-reserved": ["All rights reserved."],
 }
-_KEY = re.compile(KEYWORDS, re.IGNORECASE)
+_KEY = re.compile(KEYWORDS.replace(" ", r"\s+"), re.IGNORECASE)  # once comment marks are blanks
+#: Comment marks, with the blanks around them, at a line's begin and end.
+_MARK = re.compile(r"^[^\S\n]*(?:<!--+|/{2,}|/?\*+/?|#+|;+|--+|%+|>+|\"{3}|'{3})[^\S\n]*|[^\S\n]*(?:\*+/|--+>|#+|\*+)[^\S\n]*$", re.MULTILINE)
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_BEGIN, _END = re.compile(r"[.!?]\s+(?!\d)"), re.compile(r"[.!?](?=\s|$)(?!\s+\d)")  # "v. 2.0" and the like: a sentence doesn't end before a number
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+def unmarked(text: str) -> str:
+    """The text with blanks for comment marks, so that positions stay."""
+    return _MARK.sub(lambda m: " " * len(m[0]), text)
+
+
+def unwrapped(block: str) -> str:
+    """The block in one line; a word broken behind its hyphen is whole again."""
+    return " ".join(re.sub(r"(?<=\w-)[^\S\n]*\n\s*(?=\w)", "", block).split())
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidate blocks: keyword sentences; adjacent ones are one block."""
+    """Spans of the candidate blocks: keyword sentences; adjacent ones of a paragraph, or of lines that follow each other, are one block."""
     out: list[tuple[int, int]] = []
-    touched = [m.start() for m in _KEY.finditer(text)]
-    for at in touched:
+    text = unmarked(text)
+    begin_paragraph, end_paragraph = 0, -1
+    for m in _KEY.finditer(text):
+        at = m.start()
         if out and at < out[-1][1]:
             continue
-        line = text.rfind("\n", 0, at) + 1
-        end_line = text.find("\n", at)
-        end_line = len(text) if end_line < 0 else end_line
-        begin = max((m.end() for m in re.finditer(r"[.!?]\s+", text[line:at])), default=0) + line
-        stop = re.search(r"[.!?](?=\s|$)", text[at:end_line])
-        end = at + stop.end() if stop else end_line
-        # "v. 2.0" and the like: a sentence doesn't end before a number.
-        while more := re.match(r"\s+\d\S*", text[end:end_line]):
-            end += more.end()
-            if text[end - 1] not in ".!?":
-                stop = re.search(r"[.!?](?=\s|$)", text[end:end_line])
-                end = end + stop.end() if stop else end_line
-        if out and not text[out[-1][1] : begin].strip():
+        while end_paragraph <= at:
+            begin_paragraph = max(0, end_paragraph)
+            gap = _PARAGRAPH.search(text, begin_paragraph)
+            end_paragraph = gap.start() + 1 if gap else len(text) + 1
+        low = max(begin_paragraph, out[-1][1] if out else 0)
+        begin = max((x.end() for x in _BEGIN.finditer(text, low, at)), default=low)
+        stop = _END.search(text, at, min(end_paragraph, len(text)))
+        end = stop.end() if stop else min(end_paragraph, len(text))
+        begin += len(text[begin:at]) - len(text[begin:at].lstrip())
+        end -= len(text[begin:end]) - len(text[begin:end].rstrip())
+        if out and not text[out[-1][1] : begin].strip() and not _PARAGRAPH.search(text, out[-1][1], begin):
             out[-1] = (out[-1][0], end)
         else:
             out.append((begin, end))
@@ -146,8 +161,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
         for f in frames:
             rows = []
             for i, text in zip(f["doc_id"], f["text"]):
+                clean = unmarked(text)
                 for a, b in blocks(text):
-                    block = text[a:b]
+                    block = unwrapped(clean[a:b])
                     if block not in known:
                         if len(known) > 10_000:
                             known.clear()
@@ -155,4 +171,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
                     rows.append({"doc_id": i, "start": a, "chars": b - a, **known[block]})
             yield pd.DataFrame(rows, columns=columns)
 
-    return map_rows(docs.select("doc_id", "text").where(F.col("text").rlike(f"(?i){KEYWORDS}")), run, SCHEMA)
+    return map_rows(docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + KEYWORDS.replace(" ", r"\W+"))), run, SCHEMA)

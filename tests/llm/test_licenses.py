@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from quernstone.llm import licenses as L
@@ -43,3 +45,30 @@ def test_whole_texts_are_scanned(spark):
     assert sorted((r["doc_id"], r["license"], text[r["start"] : r["start"] + r["chars"]]) for r in rows) == [
         (1, "MIT", "Released under the MIT License."), (1, "all-rights-reserved", "All rights reserved."),
     ]
+
+
+@pytest.mark.parametrize("mark,end", [("", ""), ("# ", ""), (" * ", ""), ("// ", ""), ("/* ", " */")])
+@pytest.mark.parametrize("name,text", [(n, t) for n, texts in L.TEMPLATES.items() for t in texts])
+def test_wrapped_notices_are_whole(name, text, mark, end):
+    lines = [f"{mark}{x}{end}" for width in (70, 30) for x in [*textwrap.wrap(text, width), ""]]
+    whole = "\n".join(["import os", "", *lines, "x = 1  # the river runs through the old town", ""])
+    found = [L.classify(L.unwrapped(L.unmarked(whole)[a:b])) for a, b in L.blocks(whole)]
+    assert [(f["license"], f["verdict"]) for f in found] == [(name, "exact")] * 2
+
+
+def test_wrapped_notice_is_found_by_scan(spark):
+    ship(spark)
+    text = "\n".join("# " + x for x in textwrap.wrap(PROSE + L.TEMPLATES["MIT"][2] + ". " + PROSE, 70))
+    r = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(x["license"], x["share"]) for x in r] == [("MIT", 1.0)] and text[r[0]["start"] :].startswith("Permission")
+
+
+def test_keywords_may_be_wrapped(spark):
+    ship(spark)
+    r = L.scan(spark.createDataFrame([(1, "# This work is in the public\n# domain.")], "doc_id long, text string")).collect()
+    assert [(x["license"], x["verdict"]) for x in r] == [("public-domain", "exact")]
+
+
+def test_paragraphs_end_blocks():
+    text = "The river\n\nAll rights reserved\n\nruns through the town"
+    assert [text[a:b] for a, b in L.blocks(text)] == ["All rights reserved"]
