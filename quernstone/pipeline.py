@@ -21,6 +21,7 @@ from quernstone.registry import FORMATS, STAGES, TEMPLATES, Event, Hooks
 from quernstone.settings import Settings
 from quernstone.sources import client as clients
 from quernstone.sources import datasets
+from quernstone.sources.shared import checkpointed
 from quernstone.sources.store import ParquetStore
 
 NAMES = ["collect", "clean", "analyze", "generate", "verify", "refine", "benchmark", "export"]
@@ -97,13 +98,10 @@ def generate_stage(c: Context) -> None:
     c.tables["samples"] = made
 
 
-@STAGES.register("verify")
-def verify_stage(c: Context) -> None:
+def _verified(c: Context, samples: DataFrame, stage: str) -> DataFrame:
+    """``samples`` with verdict, quality_score and issues from the rule critics and the models that the settings name."""
     v = c.settings.verify
-    if not v.enabled:
-        return
-    samples = c.tables["samples"]
-    ask = lambda what, model: c.ask(samples.select(F.col("sample_id").alias("call_id"), F.concat(F.lit(f"{what}\n"), F.to_json("content")).alias("prompt"), F.lit("You check training data. Answer with JSON only.").alias("system")), "verify", model).select(F.col("call_id").alias("sample_id"), "model", F.coalesce("text", F.lit("")).alias("text"))
+    ask = lambda what, model: c.ask(samples.select(F.col("sample_id").alias("call_id"), F.concat(F.lit(f"{what}\n"), F.to_json("content")).alias("prompt"), F.lit("You check training data. Answer with JSON only.").alias("system")), stage, model).select(F.col("call_id").alias("sample_id"), "model", F.coalesce("text", F.lit("")).alias("text"))
     judges = critiques = scores = None
     if len(v.judge_models) >= 2:
         texts = [ask("Judge: verdict, severity, step_failures, confidence, reasoning.", m) for m in v.judge_models]
@@ -116,15 +114,22 @@ def verify_stage(c: Context) -> None:
         if model:
             critiques = verify.parse_critiques(ask("Critique: issues, severity, reasoning, passed.", model))
             scores = verify.parse_scores(ask("Score: accuracy, relevance, completeness.", clients.resolve_model(v.scorer_model, model)))
-    c.tables["samples"] = verify.verify(samples, c.tables["documents"], critiques, scores, judges, v.min_pass_rate, v.min_score)
+    return verify.verify(samples, c.tables["documents"], critiques, scores, judges, v.min_pass_rate, v.min_score)
+
+
+@STAGES.register("verify")
+def verify_stage(c: Context) -> None:
+    if c.settings.verify.enabled:
+        c.tables["samples"] = _verified(c, c.tables["samples"], "verify")
 
 
 @STAGES.register("refine")
 def refine_stage(c: Context) -> None:
-    v, samples = c.settings.verify, c.tables["samples"]
+    samples = c.tables["samples"]
     if "verdict" not in samples.columns:
         return
-    base = samples.select("sample_id", "format", "content", "verdict", "issues")
+    fresh = [x for x in ("content", "verdict", "quality_score", "issues") if x in samples.columns]
+    base = samples.select("sample_id", "format", *fresh, *[x for x in samples.columns if x == "agreement_ratio"])
 
     def rewrite(rows: DataFrame, attempt: int) -> DataFrame:
         prompt = F.concat(F.lit("Mend the listed issues and keep the structure.\n"), F.to_json("content"), F.lit("\n"), F.array_join("issues", "\n"))
@@ -133,10 +138,13 @@ def refine_stage(c: Context) -> None:
         return rows.join(fresh, "sample_id").withColumn("content", F.col("fresh")).drop("fresh")
 
     def judge(rows: DataFrame, attempt: int) -> DataFrame:
-        return verify.verify(rows, c.tables["documents"], None, rows.select("sample_id", F.lit(v.min_score).alias("overall")), None, v.min_pass_rate, v.min_score)
+        rows = checkpointed(rows)  # the models are asked about the very rows that are kept
+        if rows.isEmpty():
+            return rows
+        return _verified(c, rows, "refine").select("sample_id", "verdict", "quality_score", "issues")
 
     settled = refine.refine(base, rewrite, judge, c.settings.refine.max_retries)
-    c.tables["samples"] = samples.drop("content", "verdict").join(settled.select("sample_id", "content", "verdict", "attempt"), "sample_id")
+    c.tables["samples"] = samples.drop(*fresh).join(settled.select("sample_id", *fresh, "attempt"), "sample_id")
 
 
 @STAGES.register("benchmark")

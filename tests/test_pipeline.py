@@ -55,6 +55,28 @@ def test_whole_run_and_resume(spark, tmp_path, documents):
     assert again.metrics["samples"] == 8
 
 
+def mended(prompt):
+    """A critic that rejects one rewrite, a scorer to whom poor ones are worth little, and a writer that mends what it is told of."""
+    tag = next(t for t in ("fatal", "slow", "never") if t in prompt)
+    if prompt.startswith("Mend"):
+        kind = "good" if tag == "fatal" or tag == "slow" and "too thin" in prompt else "poor"
+        return json.dumps({"question": f"{tag} {kind}", "analysis": "the people", "answer": "the house and the town", "metadata": {}})
+    poor = f"{tag} poor" in prompt
+    if prompt.startswith("Critique"):
+        return json.dumps({"issues": ["made up"] if tag == "fatal" else ["too thin"] if poor else [], "severity": "fatal" if tag == "fatal" else "none", "reasoning": "", "passed": tag != "fatal"})
+    return json.dumps(dict.fromkeys(("accuracy", "relevance", "completeness"), 0.1 if poor else 1.0))
+
+
+def test_rewrites_meet_the_bar_of_verification(spark, tmp_path, documents):
+    s = settings(tmp_path)
+    s = replace(s, verify=replace(s.verify, judge_models=[], critic_model="m"), refine=replace(s.refine, max_retries=2))
+    rows = [(t, "reasoning", json.dumps({"question": f"{t} old"}), "revise", 0.5, ["old issue"]) for t in ("fatal", "slow", "never")]
+    samples = spark.createDataFrame(rows, "sample_id string, format string, content string, verdict string, quality_score double, issues array<string>").withColumn("content", F.parse_json("content"))
+    c = Pipeline(spark, s, C.Echo(mended)).run_stage("refine", "t", documents=documents, samples=samples)
+    found = {r["sample_id"]: (r["verdict"], r["attempt"], r["quality_score"], r["issues"]) for r in c.tables["samples"].drop("content").collect()}
+    assert found == {"fatal": ("reject", 1, 0.6667, ["made up"]), "slow": ("accept", 2, 1.0, []), "never": ("revise", 2, 0.1, ["too thin"])}
+
+
 def test_gate_and_budget(spark, tmp_path, documents):
     s = settings(tmp_path)
     with pytest.raises(M.GateFailed) as e:
