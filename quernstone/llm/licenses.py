@@ -3,20 +3,22 @@
 Candidate blocks are the runs of sentences that speak of licences or copyright. A sentence runs over single line breaks and
 comment marks at the lines' ends, up to its own end or the paragraph's (a line without words of its own). Each block is
 compressed on its own and with each template as a raw zstandard dictionary; templates are ranked by how much smaller that
-makes it. The ``TOP`` ranked are then compared word by word: a template is confirmed where most of its words are in the
-block in order, and the words that are missing from it, or changed, are listed. Among the confirmed the one with the
-highest share of its words found wins, then the longest, then the largest reduction.
+makes it. All are then compared word by word: a template is confirmed where most of its words are in the block in order, and
+the words that are missing from it, or changed, are listed. Among the confirmed the one with the highest share of its words
+found wins, then the longest, then the largest reduction. Its words are taken from the block and the rest is compared again,
+until no template is confirmed. A template too few of whose words are in the block at all is skipped, which changes no result.
 
 Only texts that hold a keyword reach Python; they are scanned whole.
 
 Defined results: null and empty texts and texts without a keyword give no rows; a block that no template explains gives a
 row with license null and verdict 'unknown'; equal reductions rank by license name; repeated rows give equal rows; several
-blocks of a document give a row each; extra columns are ignored.
+blocks of a document give a row each, and so does each notice confirmed in a block, with the block's start and chars; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._common import map_rows
 
-LEVEL, TOP, CONFIRM, MAX_MISSING = 19, 3, 0.8, 0.34
+LEVEL, CONFIRM, MAX_MISSING = 19, 0.8, 0.34
 KEYWORDS = r"licen[sc]e|copyright|©|all rights reserved|spdx|public domain|permission is hereby|redistribution and use|without warranty|creative commons|\bcc by\b|\bcc0\b"
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
@@ -106,18 +108,22 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def differences(block: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
-    """(share of the template's words found in order, words missing, words in their place)."""
-    found, missing, instead = 0, [], []
+def _compared(block: list[str | None], template: list[str]) -> tuple[float, list[str], list[str | None], list[int]]:
+    missing, instead, places = [], [], []
     codes = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
     for k, (op, a, b, c, d) in enumerate(codes):
         if op == "equal":
-            found += b - a
+            places += range(c, d)
             continue
         missing += template[a:b]
         if 0 < k < len(codes) - 1:  # what stands before and after the notice isn't part of it
             instead += block[c:d]
-    return found / max(1, len(template)), missing, instead
+    return len(places) / max(1, len(template)), missing, instead, places
+
+
+def differences(block: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
+    """(share of the template's words found in order, words missing, words in their place)."""
+    return _compared(block, template)[:3]
 
 
 def rank(block: str, templates: dict[str, list[str]]) -> list[tuple[float, str, str]]:
@@ -128,13 +134,16 @@ def rank(block: str, templates: dict[str, list[str]]) -> list[tuple[float, str,
     return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
 
 
-def classify(block: str, templates: dict[str, list[str]] = TEMPLATES) -> dict:
-    ranked = rank(block, templates)
-    words = _words(block)
+def confirmed(words: list[str | None], ranked: list[tuple[float, str, str]]) -> tuple[dict, list[int]] | None:
+    """The best confirmed template and the places of its words among ``words``; None is a word that is taken."""
     best = None
-    for reduction, name, template in ranked[:TOP]:
+    there = Counter(words)
+    for reduction, name, template in ranked:
         own = _words(template)
-        share, missing, instead = differences(words, own)
+        # No more of the template's words can be found in order than there are at all.
+        if sum(min(n, there[w]) for w, n in Counter(own).items()) < CONFIRM * len(own):
+            continue
+        share, missing, instead, places = _compared(words, own)
         if share >= CONFIRM and len(missing) + len(instead) <= max(1, MAX_MISSING * len(own)):
             exact = not missing and not instead
             # A version or variant word that differs names another licence; without exact wording numbers must agree.
@@ -142,8 +151,26 @@ def classify(block: str, templates: dict[str, list[str]] = TEMPLATES) -> dict:
                 continue
             key = (share, len(own) if exact else 0, reduction)
             if best is None or key > best[0]:
-                best = (key, {"license": name, "reduction": round(reduction, 6), "share": round(share, 6), "missing": missing, "instead": instead, "verdict": "exact" if exact else "changed"})
-    return best[1] if best else {"license": None, "reduction": round(ranked[0][0], 6), "share": None, "missing": [], "instead": [], "verdict": "unknown"}
+                found = {"license": name, "reduction": round(reduction, 6), "share": round(share, 6), "missing": missing, "instead": [w for w in instead if w], "verdict": "exact" if exact else "changed"}
+                best = (key, found, places)
+    return best and best[1:]
+
+
+def classify_all(block: str, templates: dict[str, list[str]] = TEMPLATES) -> list[dict]:
+    """The confirmed templates whose matched words don't overlap, best first; one 'unknown' if there are none."""
+    ranked = rank(block, templates)
+    words: list[str | None] = [*_words(block)]
+    out = []
+    while found := confirmed(words, ranked):
+        out.append(found[0])
+        for k in found[1]:
+            words[k] = None
+    return out or [{"license": None, "reduction": round(ranked[0][0], 6), "share": None, "missing": [], "instead": [], "verdict": "unknown"}]
+
+
+def classify(block: str, templates: dict[str, list[str]] = TEMPLATES) -> dict:
+    """The best of ``classify_all``."""
+    return classify_all(block, templates)[0]
 
 
 _TELLING = {"apache", "mit", "gnu", "lesser", "affero", "bsd", "mozilla", "cc", "cc0", "by", "by-sa", "by-nc", "by-nc-nd", "noncommercial", "sharealike", "attribution-sharealike", "attribution-noncommercial", "not"}
@@ -152,12 +179,12 @@ SCHEMA = "doc_id long, start long, chars long, license string, reduction double,
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row for each candidate block: (doc_id, start, chars, license, reduction, share, missing, instead, verdict)."""
+    """One row for each notice confirmed in a candidate block, or for the block: (doc_id, start, chars, license, reduction, share, missing, instead, verdict)."""
     templates = templates or TEMPLATES
     columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
+        known: dict[str, list[dict]] = {}
         for f in frames:
             rows = []
             for i, text in zip(f["doc_id"], f["text"]):
@@ -167,8 +194,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
                     if block not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        known[block] = classify(block, templates)
-                    rows.append({"doc_id": i, "start": a, "chars": b - a, **known[block]})
+                        known[block] = classify_all(block, templates)
+                    rows += [{"doc_id": i, "start": a, "chars": b - a, **x} for x in known[block]]
             yield pd.DataFrame(rows, columns=columns)
 
     return map_rows(docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + KEYWORDS.replace(" ", r"\W+"))), run, SCHEMA)

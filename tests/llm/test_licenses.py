@@ -72,3 +72,16 @@ def test_keywords_may_be_wrapped(spark):
 def test_paragraphs_end_blocks():
     text = "The river\n\nAll rights reserved\n\nruns through the town"
     assert [text[a:b] for a, b in L.blocks(text)] == ["All rights reserved"]
+
+
+@pytest.mark.parametrize("gap", [" ", "\n"])
+def test_every_licence_of_a_block_has_a_row(spark, gap):
+    ship(spark)
+    one = {"MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "GPL-3.0": L.TEMPLATES["GPL-3.0"][0], "BSD": "Released under the BSD License.", "CC0-1.0": "Released under CC0 1.0."}
+    rows = L.scan(spark.createDataFrame([(1, gap.join(list(one.values())[:2])), (2, gap.join(one.values()))], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["verdict"]) for r in rows) == sorted([(1, "MIT", "exact"), (1, "CC-BY-4.0", "exact"), *((2, n, "exact") for n in one)])
+
+
+def test_notices_that_overlap_are_one():
+    assert [x["license"] for x in L.classify_all(L.TEMPLATES["Apache-2.0"][1])] == ["Apache-2.0"]
+    assert [x["license"] for x in L.classify_all(L.TEMPLATES["LGPL-3.0"][0])] == ["LGPL-3.0"]
