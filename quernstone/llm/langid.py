@@ -7,7 +7,7 @@ penalised likelihood, log L - penalty * (size of the set) * log(n) / 2 with n tr
 searched further where even the full mixture's likelihood couldn't pay for a second language, which changes no result.
 Languages under ``min_share`` of the chosen set don't count as used.
 
-The model is fitted on a bounded sample of tagged documents (``per_language`` of each tag, chosen by a hash of doc_id);
+The model is fitted on a bounded sample of tagged documents (``per_language`` of each tag, chosen by a hash of doc_id), on every tag that there is;
 everything else covers whole texts of all rows.
 
 Defined results: a null or empty text, or one without letters, has no language, an empty set and keep = false; ties in
@@ -31,8 +31,8 @@ from quernstone.llm._common import code_points, map_rows, text_groups, unit_hash
 
 BUCKETS = 4096
 UNKNOWN = "unknown"
-#: Documents of each language tag that the model is fitted on, about; and the most tags that are told apart.
-PER_LANGUAGE, MAX_LANGUAGES = 1000, 64
+#: Documents of each language tag that the model is fitted on, about.
+PER_LANGUAGE = 1000
 PENALTY, MIN_SHARE, ROUNDS = 8.0, 0.1, 25
 
 
@@ -101,11 +101,8 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model:
     tagged = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = tagged.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return Model([], np.zeros((0, BUCKETS)))
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    sample = tagged.where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=seed) < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    rates = tagged.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
+    sample = tagged.join(F.broadcast(rates), "lang").where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=seed) < F.col("rate")).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -117,9 +114,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Mod
         if total:  # a task may have no rows
             yield pd.DataFrame({"lang": list(total), "counts": [x.tobytes() for x in total.values()]})
 
-    found: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(count, "lang string, counts binary").collect():
-        found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(r["counts"], np.float64)
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for f in frames:
+            for lang, counts in zip(f["lang"], f["counts"]):
+                total[lang] = total.get(lang, 0) + np.frombuffer(counts, np.float64)
+        if total:
+            yield pd.DataFrame({"lang": list(total), "counts": [x.tobytes() for x in total.values()]})
+
+    schema = "lang string, counts binary"
+    found = {r["lang"]: np.frombuffer(r["counts"], np.float64) for r in sample.mapInPandas(count, schema).repartition("lang").mapInPandas(add, schema).toLocalIterator()}
     names = sorted(found)
     return Model(names, np.array([found[x] for x in names]).reshape(len(names), BUCKETS))
 

@@ -75,3 +75,16 @@ def test_stage_keeps_clean_documents(spark):
     ship(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert L.keep_identified(docs).count() >= 0.99 * docs.count()
+
+
+def test_every_tag_is_told_apart(spark):
+    """150 tags, each with words of its own; the rarest count as well."""
+    ship(spark)
+    words = lambda k: [chr(97 + k % 13) + chr(97 + k // 13) + chr(97 + (k + 5 * j) % 26) + "aeiou"[j % 5] for j in range(12)]
+    text = lambda k: " ".join(words(k)[(j * 7 + j * j) % 12] for j in range(120))
+    rows = [(k, text(k // 2 if k < 300 else 0), f"t{k // 2 if k < 300 else 0:03d}") for k in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model.names == [*(f"t{k:03d}" for k in range(150)), L.UNKNOWN]
+    found = {r["doc_id"]: r for r in L.identify(docs, model).collect()}
+    assert all(found[k]["language"] == lang and found[k]["keep"] for k, _, lang in rows)
