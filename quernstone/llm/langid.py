@@ -2,25 +2,31 @@
 
 Each language has a distribution over hashed character trigrams, estimated here from documents that carry a language tag;
 one more component, uniform over the buckets, stands for anything else. Expectation-maximisation estimates the
-proportions of a document's trigrams that each component explains. The set of languages is the one with the highest
-penalised likelihood, log L - penalty * (size of the set) * log(n) / 2 with n trigrams, over all sets; a set is not
-searched further where even the full mixture's likelihood couldn't pay for a second language, which changes no result.
-Languages under ``min_share`` of the chosen set don't count as used.
+proportions of a document's trigrams that each component explains. Sets of languages are compared by penalised likelihood,
+log L - penalty * (size of the set - 1) * log(n) / 2 with n trigrams.
+
+The search begins with the best single component. In each step the component whose addition gains most joins, if it pays
+for itself; components under ``min_share`` then leave, as does one without which the penalised likelihood is higher; it ends
+where no addition and no removal pays, so the set is a local optimum (``tests/llm`` compare it with all sets). With the
+gradients g_j = mean of p_j / mixture over the trigrams, log L is concave, so no mixture of the set and j gains more than
+n log max g: components that can't pay by this bound are not tried, which changes no result, and most texts are settled by it
+without any rounds. Rounds end when the same bound says that a set's likelihood is within ``TOLERANCE`` of its maximum. A set
+has at most 1 / ``min_share`` languages, so a text costs at most some tens of rounds of fits for each known language.
+Sums are in double precision: results don't depend on how rows are batched but for the last bits, which rounding hides.
 
 The model is fitted on a bounded sample of tagged documents (``per_language`` of each tag, chosen by a hash of doc_id), on every tag that there is;
 everything else covers whole texts of all rows.
 
-Defined results: a null or empty text, or one without letters, has no language, an empty set and keep = false; ties in
-the likelihood go to the smaller set, then to the first language by name; without tagged documents nothing can be told
-apart, every text with a letter has the set ['unknown'] and is kept; repeated rows get equal results; extra columns are
-ignored by ``identify`` and kept by ``keep_identified``.
+Defined results: a null or empty text, or one without letters (digits, punctuation, emoji), has no language, an empty set and
+keep = false; ties in the likelihood go to the smaller set, then to the first language by name; without tagged documents nothing
+can be told apart, every text with a letter has the set ['unknown'] and is kept; very long texts are counted whole; repeated rows
+get equal results; an empty table gives an empty result; extra columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,34 +39,38 @@ BUCKETS = 4096
 UNKNOWN = "unknown"
 #: Documents of each language tag that the model is fitted on, about.
 PER_LANGUAGE = 1000
-PENALTY, MIN_SHARE, ROUNDS = 8.0, 0.1, 25
+PENALTY, MIN_SHARE = 8.0, 0.1
+#: How far below its maximum a set's log likelihood may be, and the rounds after which that is taken as it is.
+TOLERANCE, ROUNDS = 0.01, 2000
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For code points of the first plane: itself if a letter, else 0."""
-    return np.array([c if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint32)
+    """For each code point: itself if a letter, else 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 def trigram_counts(texts: list) -> np.ndarray:
-    """[n, BUCKETS] float32 counts of trigrams around each letter; whatever isn't a letter is a boundary."""
+    """[n, BUCKETS] counts of trigrams around each letter; whatever isn't a letter is a boundary."""
     codes, doc = code_points([t.lower() if t else "" for t in texts])
-    c = np.where(codes < 0x10000, _letters()[np.minimum(codes, 0xFFFF)], codes)
+    c = _letters()[codes]
     mid = np.flatnonzero(c[:-1])  # the last code is a boundary
     before = np.where(mid > 0, c[mid - 1], 0).astype(np.uint32)
     h = (before * np.uint32(0x9E3779B1)) ^ (c[mid] * np.uint32(0x85EBCA6B)) ^ (c[mid + 1] * np.uint32(0xC2B2AE35))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
-    return np.bincount(doc[mid] * BUCKETS + h, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.float32)
+    return np.bincount(doc[mid] * BUCKETS + h, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.float64)
 
 
-def _mixture(counts: np.ndarray, p: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions [n, k] and log likelihoods of mixtures of the rows of p."""
-    n = np.maximum(counts.sum(1, keepdims=True), 1)
-    theta = np.full((len(counts), len(p)), 1 / len(p), np.float32)
+def _mixture(counts: np.ndarray, p: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Proportions of the rows of p that explain ``counts`` [buckets] best, and the log likelihood."""
+    n = counts.sum()
+    theta = np.full(len(p), 1 / len(p))
     for _ in range(rounds if len(p) > 1 else 0):
-        theta = theta * ((counts / (theta @ p)) @ p.T) / n
-        theta = np.maximum(theta, 1e-9)
-    return theta, (counts * np.log(theta @ p)).sum(1, dtype=np.float64)
+        gradient = p @ (counts / (theta @ p)) / n
+        if n * np.log(gradient.max()) <= tolerance:
+            break
+        theta = theta * gradient
+    return theta, float(counts @ np.log(theta @ p))
 
 
 class Model:
@@ -69,35 +79,63 @@ class Model:
     def __init__(self, names: list[str], counts: np.ndarray):
         self.names = [*names, UNKNOWN]
         p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS) if len(names) else np.zeros((0, BUCKETS))
-        self.p = np.vstack([p, np.full((1, BUCKETS), 1 / BUCKETS)]).astype(np.float32)
+        self.p = np.vstack([p, np.full((1, BUCKETS), 1 / BUCKETS)])
 
-    def infer(self, counts: np.ndarray, penalty: float = PENALTY, min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    def infer(self, counts: np.ndarray, penalty: float = PENALTY, min_share: float = MIN_SHARE) -> tuple[np.ndarray, np.ndarray]:
         """Shares [n, k] over the chosen sets (0 elsewhere) and the mean log likelihood of a trigram."""
-        k, n = len(self.names), counts.sum(1)
-        cost = penalty * np.log(np.maximum(n, 2)) / 2
-        single = counts @ np.log(self.p).T.astype(np.float32)
+        rows, n = np.arange(len(counts)), counts.sum(1)
+        single = counts @ np.log(self.p).T
         best = single.argmax(1)
-        value = single[np.arange(len(best)), best].astype(np.float64)
-        share = np.zeros((len(best), k), np.float32)
-        share[np.arange(len(best)), best] = 1
-        if k > 1 and len(best):
-            theta, full = _mixture(counts, self.p, rounds)
-            more = np.flatnonzero(full - value > cost)
-            # Only components that the full mixture uses can pay for themselves; sets are tried from small to large.
-            used = theta >= min_share / 2
-            for group in {tuple(np.flatnonzero(u)) for u in used[more]}:
-                rows = more[(used[more] == np.isin(np.arange(k), group)).all(1)]
-                for size in range(2, len(group) + 1):
-                    for pick in combinations(group, size):
-                        part, ll = _mixture(counts[rows], self.p[list(pick)], rounds)
-                        better = (ll - cost[rows] * (size - 1) > value[rows]) & (part.min(1) >= min_share)
-                        at = rows[better]
-                        value[at] = (ll - cost[rows] * (size - 1))[better]
-                        share[at] = 0
-                        share[np.ix_(at, pick)] = part[better]
-        share[n == 0] = 0
+        value = single[rows, best]
+        share = np.zeros((len(best), len(self.names)))
+        share[rows, best] = n > 0
+        if len(self.names) > 1:
+            cost = penalty * np.log(np.maximum(n, 2)) / 2
+            gradient = (counts / self.p[best]) @ self.p.T / np.maximum(n, 1)[:, None]
+            for r in np.flatnonzero(n * np.log(np.maximum(gradient.max(1), 1)) > cost):
+                at = np.flatnonzero(counts[r])
+                group, theta, value[r] = self._grow(counts[r, at], self.p[:, at], int(best[r]), float(value[r]), float(cost[r]), min_share)
+                share[r] = 0
+                share[r, group] = theta
         return share, value / np.maximum(n, 1)
 
+    @staticmethod
+    def _grow(counts: np.ndarray, p: np.ndarray, first: int, value: float, cost: float, min_share: float) -> tuple[list[int], np.ndarray, float]:
+        """The set that no addition and no removal improves, its shares and log likelihood; begins with ``first``."""
+        n = counts.sum()
+
+        def fitted(group: list[int]) -> tuple[float, list[int], np.ndarray, float]:
+            """Without the components under ``min_share``: (penalised likelihood, set, shares, likelihood)."""
+            while True:
+                theta, ll = _mixture(counts, p[group])
+                if len(group) == 1 or theta.min() >= min_share:
+                    return ll - cost * (len(group) - 1), group, theta, ll
+                group = [g for k, g in enumerate(group) if k != int(theta.argmin())]
+
+        now = (value, [first], np.ones(1), value)
+        while True:
+            _, group, theta, ll = now
+            gradient = p @ (counts / (theta @ p[group])) / n
+            inside = gradient[group].max()
+            found = now
+            for j in np.argsort(-gradient, kind="stable").tolist():
+                if j in group:
+                    continue
+                # No mixture of the set and j exceeds the likelihood by more than this.
+                if n * np.log(max(gradient[j], inside)) <= max(cost, found[0] - now[0] + cost):
+                    break
+                tried = fitted(sorted([*group, j]))
+                if tried[0] > found[0] + 1e-6:
+                    found = tried
+            if found is now:
+                for g in group if len(group) > 1 else ():
+                    tried = fitted([x for x in group if x != g])
+                    if tried[0] > found[0] + 1e-6:
+                        found = tried
+            if found is now:
+                return group, theta, ll
+            now = found
+
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model:
     tagged = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
@@ -129,7 +167,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Mod
 
 
 def _infer_texts(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    share, score, grams = [np.zeros((0, len(model.names)), np.float32)], [np.zeros(0)], [np.zeros(0)]
+    share, score, grams = [np.zeros((0, len(model.names)))], [np.zeros(0)], [np.zeros(0)]
     for a, b in text_groups(texts):
         for c in range(a, b, 256):
             counts = trigram_counts(texts[c : min(b, c + 256)])
