@@ -78,6 +78,50 @@ def test_whole_texts_are_packed_once(spark):
     assert all(p["tokens"] == -(-p["chars"] // P.CHARS) for r in found for p in r["pieces"])
 
 
+def test_the_search_saves_sequences_at_the_shipped_settings(spark):
+    """Full shards of lengths for which best-fit decreasing isn't optimal."""
+    ship(spark)
+    rnd = random.Random(8)
+    tokens = [rnd.randint(200, 1100) for _ in range(P.SHARD_PIECES)]
+    greedy, bound = len(P.best_fit_decreasing(sorted(tokens, reverse=True), P.CAPACITY)), P.lower_bound(tokens, P.CAPACITY)
+    docs = spark.createDataFrame([(k, "x" * (4 * n)) for k, n in enumerate(tokens)], "doc_id long, text string")
+    found = P.pack(docs).collect()
+    assert bound <= len(found) <= greedy - 5
+    assert sorted((p["doc_id"], p["tokens"]) for r in found for p in r["pieces"]) == list(enumerate(tokens))
+
+
+def slow_bound(lengths, capacity):
+    best = -(-sum(lengths) // capacity)
+    for k in {x for x in lengths if 2 * x <= capacity} | {0}:
+        big, half = [x for x in lengths if x > capacity - k], [x for x in lengths if capacity - k >= x and 2 * x > capacity]
+        rest = sum(x for x in lengths if 2 * x <= capacity and x >= k)
+        best = max(best, len(big) + len(half) + max(0, -(-(rest - (len(half) * capacity - sum(half))) // capacity)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lower_bound_matches_its_definition(seed):
+    rnd = random.Random(seed)
+    for capacity in (20, 101, 2048):
+        lengths = [rnd.randint(1, capacity - 1) for _ in range(rnd.randint(1, 400))]
+        assert P.lower_bound(lengths, capacity) == slow_bound(lengths, capacity)
+
+
+def test_repeated_rows_are_dealt_to_many_shards(spark):
+    """A third of all rows with a null id and one length, and one row that repeats: no shard gets them all."""
+    ship(spark)
+    rows = [(None, "x" * 900)] * 1000 + [(7, "y" * 20_000)] * 500 + [(k, "z" * (40 + k)) for k in range(1500)]
+    found = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_pieces=100).collect()
+    sizes = {}
+    for r in found:
+        if r["shard"] >= 0:
+            sizes[r["shard"]] = sizes.get(r["shard"], 0) + len(r["pieces"])
+    assert max(sizes.values()) <= 500
+    got = sorted(((p["doc_id"] is None, p["doc_id"], p["chars"]) for r in found for p in r["pieces"]), key=str)
+    spans = lambda n: [min(8192, n - a) for a in range(0, n, 8192)]
+    assert got == sorted(((i is None, i, c) for i, t in rows for c in spans(len(t))), key=str)
+
+
 def test_ties_go_by_id(spark):
     ship(spark)
     docs = spark.createDataFrame([(k, "x" * 2000) for k in (3, 1, 2, None)], "doc_id long, text string")
