@@ -4,25 +4,29 @@ P(grade > k) = sigmoid(w.x - cut_k): the weights of the sparse features are shar
 ordered, and the output is the expected grade, the sum over k of P(grade > k). Features are which words a text has and
 which four-letter beginnings its longer words have.
 
-Labels hold only toxic 0 or 1, so the grades to learn are derived: 0 for a document that isn't labelled toxic; 1 or 2 for
-one that is, 2 where it has more distinct indicative terms than the toxic documents' median. Indicative terms are those
-that occur in significantly more of the toxic documents (a z-test on document frequencies, ``MIN_Z``); only they are
-features, with weights of at least 0, so that words which say nothing add no noise to long texts. Near copies in the
-sample (any of three min-hashes of word triples in common) count once, else the rare words of one much copied toxic
-document would pass for indicative.
-
-The model is fitted on the driver on a bounded sample of the labelled documents (``max_labelled``, by a hash of the id).
-Scoring covers whole texts of all rows.
-
-Defined results: a null or empty text has no features and is scored like any other clean text; labels with null fields are
-ignored, of several labels for an id the most toxic counts; without labels of both kinds nothing is toxic (severity 0);
-repeated rows get equal results; extra columns are ignored by ``score`` and kept by ``keep_clean``.
+Grades to learn are a column ``grade`` (0, 1, 2, ...) where labels have one. Labels that hold only toxic 0 or 1 give 0 for a document
+that isn't labelled toxic and 1 or 2 for one that is, 2 by proxy: where it has more distinct terms of the lexicon of the other half
+of the labelled documents than the median of the toxic documents of its own half. So no document is graded by terms that its own
+label helped to choose, but the proxy is a statistic of texts, not a judgement; labels with grades are to be preferred.
+Indicative terms are those that occur in significantly more of the documents of grade 1 or more (a z-test on document
+frequencies, ``MIN_Z``; of a half, they are its lexicon); only they are features, with weights of at least 0, so that words which say nothing add no noise to long
+texts. Near copies in the sample (any of three min-hashes of word triples in common) count once, else the rare words of one much
+copied toxic document would pass for indicative.
+
+The model is fitted on a bounded sample of the labelled documents (``max_labelled``, by a hash of the id; of an id's texts the one
+of least hash). Terms are found and document frequencies counted in Spark; the driver gets three hashes for each sampled document, and
+the indicative terms of each. Scoring covers whole texts of all rows.
+
+Defined results: a null or empty text has no features and is scored like any other clean text; very long texts are scored whole, a
+term counts once however often it occurs; labels with null fields are ignored, of several labels for an id the highest grade counts;
+without labels of both kinds nothing is toxic (severity 0); a severity of exactly ``TOXIC`` is toxic; repeated rows, and any that
+tie in their terms, get equal results; an empty table gives an empty result; extra columns are ignored by ``score`` and kept by
+``keep_clean``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import map_rows, unit_hash
+from quernstone.llm._common import checkpointed, map_rows, unit_hash
 
 MAX_LABELLED, MIN_Z, GRADES, L2, ROUNDS = 12_000, 5.0, 3, 0.3, 400
 #: A document is toxic where its expected severity is at least this.
@@ -107,54 +111,96 @@ def fit_grades(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_gr
     return x[:n_features], x[n_features] + np.concatenate([[0], np.cumsum(np.exp(x[n_features + 1 :]))])
 
 
-def _without_copies(texts: list) -> np.ndarray:
-    """Positions of the texts that share none of three min-hashes with an earlier one."""
+_SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def copy_hashes(text: str) -> list[int]:
+    """Three min-hashes of the word triples of a text, or of its words if there are fewer."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(text.lower())] or [0], np.uint64)
+    if len(h) > 2:
+        h = h[:-2] * np.uint64(31) ^ h[1:-1] * np.uint64(37) ^ h[2:] * np.uint64(41)
+    mixed = (h[None, :] ^ _SALTS[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+    return (mixed ^ mixed >> np.uint64(33)).min(1).view(np.int64).tolist()
+
+
+def without_copies(hashes: list) -> list[int]:
+    """Positions of the documents that share none of their hashes with an earlier one."""
     seen: set[tuple[int, int]] = set()
     out = []
-    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    for k, t in enumerate(texts):
-        words = _WORD.findall(t.lower())
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)
-        if len(h) > 2:
-            h = h[:-2] * np.uint64(31) ^ h[1:-1] * np.uint64(37) ^ h[2:] * np.uint64(41)
-        mixed = (h[None, :] ^ salts[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
-        keys = {(j, int(x)) for j, x in enumerate((mixed ^ mixed >> np.uint64(33)).min(1))}
+    for k, own in enumerate(hashes):
+        keys = set(enumerate(own))
         if not keys & seen:
             out.append(k)
         seen |= keys
-    return np.array(out, np.int64)
-
-
-def fit_texts(texts: list, toxic: np.ndarray, min_z: float = MIN_Z) -> Model:
-    single = _without_copies(texts)
-    texts, toxic = [texts[k] for k in single], toxic[single]
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    if not n1 or not n0:
+    return out
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of the usable labels, one row for each id; 1 for toxic where there is no column ``grade``."""
+    grade = F.col("grade").cast("int") if "grade" in labels.columns else (F.col("toxic") > 0).cast("int")
+    return labels.select("doc_id", grade.alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+
+
+def proxy_grades(toxic: np.ndarray, half: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Grades from toxic 0 or 1, the half of each document and how many terms of the other half's lexicon it has."""
+    grade = toxic.astype(np.int64)
+    for h in (0, 1):
+        own = (half == h) & (toxic > 0)
+        if own.any():
+            grade[own] += hits[own] > np.median(hits[own])
+    return grade
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_z: float = MIN_Z, seed: int = 3) -> Model:
+    sample = graded(labels).orderBy(unit_hash(F.col("doc_id"), seed=seed), "doc_id").limit(max_labelled)
+    # The sample's size is bounded by max_labelled; one text for each of its ids is left before anything else happens.
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+
+    @F.pandas_udf("struct<hashes: array<long>, terms: array<string>>")
+    def seen(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"hashes": [copy_hashes(t) for t in text], "terms": [sorted(terms(t)) for t in text]})
+
+    half = (unit_hash(F.col("doc_id"), seed=seed + 1) < 0.5).cast("int")
+    found = checkpointed(one.select("doc_id", "grade", half.alias("half"), seen("least.text").alias("seen")).select("doc_id", "grade", "half", "seen.*"))
+    every = sorted(found.select("doc_id", "grade", "half", "hashes").collect())
+    single = [every[k] for k in without_copies([r["hashes"] for r in every])]
+    #: Documents by half, clean and toxic.
+    n = np.zeros((2, 2), np.int64)
+    for r in single:
+        n[r["half"], int(r["grade"] > 0)] += 1
+    if not n.sum(0).all():
         return Model()
-    df1: Counter = Counter()
-    df0: Counter = Counter()
-    for t, y in zip(texts, toxic.tolist()):
-        (df1 if y else df0).update(terms(t))
-    chosen = []
-    for t, a in df1.items():
-        pooled = (a + df0[t] + 1) / (n1 + n0 + 2)
-        if a > 1 and (a / n1 - df0[t] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) >= min_z:
-            chosen.append(t)
-    number = {t: k for k, t in enumerate(sorted(chosen))}
-    rows = [np.array(sorted(number[x] for x in terms(t) & number.keys()), np.int64) for t in texts]
-    hits = np.array([len(r) for r in rows])
-    grades = np.where(toxic > 0, 1 + (hits > np.median(hits[toxic > 0])), 0).astype(np.int64)
-    weights, cuts = fit_grades(rows, grades, len(number))
-    return Model({t: float(weights[k]) for t, k in number.items()}, cuts)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 3) -> Model:
-    usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = usable.orderBy(unit_hash(F.col("doc_id"), seed=seed), "doc_id").limit(max_labelled)
-    # The sample's size is bounded by max_labelled.
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["doc_id", "text"])
-    return fit_texts(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+    kept = found.join(F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in single], "doc_id long")), "doc_id")
+    cells = [F.sum(((F.col("half") == h) & ((F.col("grade") > 0) == bool(y))).cast("long")).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
+
+    def indicative(a, b, n1: int, n0: int):
+        if not n1 or not n0:
+            return F.lit(False)
+        pooled = (a + b + 1) / (n1 + n0 + 2)
+        return (a > 1) & ((a / n1 - b / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) >= min_z)
+
+    c = {x: F.col(f"n{x}") for x in ("00", "01", "10", "11")}
+    tests = [indicative(c["01"] + c["11"], c["00"] + c["10"], *map(int, n.sum(0)[::-1])), *(indicative(c[f"{h}1"], c[f"{h}0"], int(n[h, 1]), int(n[h, 0])) for h in (0, 1))]
+    counted = kept.withColumn("term", F.explode("terms")).groupBy("term").agg(*cells).select("term", *[t.alias(x) for t, x in zip(tests, ("feature", "lexicon0", "lexicon1"))])
+    chosen = sorted(counted.where("feature OR lexicon0 OR lexicon1").collect())
+    number = {r["term"]: k for k, r in enumerate(chosen)}
+
+    @F.pandas_udf("array<int>")
+    def numbers(found: pd.Series) -> pd.Series:
+        return pd.Series([sorted(number[t] for t in ts if t in number) for ts in found])
+
+    rows = sorted(kept.select("doc_id", "grade", "half", numbers("terms").alias("terms")).collect())
+    grades = np.array([r["grade"] for r in rows])
+    if "grade" not in labels.columns:
+        halves = np.array([r["half"] for r in rows])
+        grades = proxy_grades(grades, halves, np.array([sum(chosen[k]["lexicon0" if r["half"] else "lexicon1"] for k in r["terms"]) for r in rows]))
+    features = [k for k, r in enumerate(chosen) if r["feature"]]
+    place = np.full(len(chosen) + 1, -1)
+    place[features] = np.arange(len(features))
+    own = [place[np.array(r["terms"], np.int64)] for r in rows]
+    weights, cuts = fit_grades([x[x >= 0] for x in own], grades, len(features), max(GRADES, int(grades.max()) + 1))
+    return Model({chosen[k]["term"]: float(weights[place[k]]) for k in features}, cuts)
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

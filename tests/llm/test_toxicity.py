@@ -70,3 +70,105 @@ def test_without_labels_nothing_is_toxic(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["severity"] for r in X.score(docs, none).collect()] == [0.0]
     assert X.keep_clean(docs, none).count() == 1
+
+
+def plain_fit(rows, max_labelled=X.MAX_LABELLED):
+    """Features, grades and a proportional-odds fit from their definitions: (features by term, weights, cuts)."""
+    import hashlib
+    import re
+
+    import xxhash
+
+    word = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    terms = lambda t: set(word(t)) | {w[:4] + "-" for w in word(t) if len(w) >= 5}
+    seen, kept = set(), []
+    for i, text, grade in sorted(rows):
+        w = word(text)
+        h = [xxhash.xxh3_64_intdigest(x) for x in w] or [0]
+        m = 2**64
+        three = [(31 * a % m) ^ (37 * b % m) ^ (41 * c % m) for a, b, c in zip(h, h[1:], h[2:])] or h
+        keys = set()
+        for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+            mixed = [(x ^ salt) * 0xFF51AFD7ED558CCD % m for x in three]
+            keys.add((k, min(x ^ x >> 33 for x in mixed)))
+        if not keys & seen:
+            kept.append((i, terms(text), grade))
+        seen |= keys
+
+    def indicative(rows):
+        toxic, clean = [t for _, t, g in rows if g], [t for _, t, g in rows if not g]
+        chosen = []
+        for t in sorted(set().union(*toxic)):
+            a, b = sum(t in x for x in toxic), sum(t in x for x in clean)
+            pooled = (a + b + 1) / (len(rows) + 2)
+            if a > 1 and (a / len(toxic) - b / len(clean)) / np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / len(clean))) >= X.MIN_Z:
+                chosen.append(t)
+        return set(chosen)
+
+    half = lambda i: int(int(hashlib.md5(f"4:{i}".encode()).hexdigest()[:13], 16) / 2**52 < 0.5)
+    lexicon = [indicative([r for r in kept if half(r[0]) == h]) for h in (0, 1)]
+    hits = {i: len(t & lexicon[1 - half(i)]) for i, t, _ in kept}
+    middle = [np.median([hits[i] for i, _, g in kept if g and half(i) == h]) for h in (0, 1)]
+    chosen = indicative(kept)
+    return sorted(chosen), [(t & chosen, g and 1 + int(hits[i] > middle[half(i)])) for i, t, g in kept]
+
+
+def loss(weights, cuts, rows):
+    total = 0.0
+    for found, grade in rows:
+        z = sum(weights[t] for t in found)
+        above = [1.0, *(1 / (1 + np.exp(-(z - c))) for c in cuts), 0.0]
+        total -= np.log(max(above[grade] - above[grade + 1], 1e-12))
+    return total / len(rows) + X.L2 * sum(w * w for w in weights.values()) / (2 * len(rows))
+
+
+def test_query_matches_brute_force(spark):
+    """The features and the scores of every document, and that no other weights fit better, from the definitions."""
+    from quernstone.llm.queries import queries
+
+    folder = SF.replace("0.001", "0.01")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = [(r["doc_id"], docs[r["doc_id"]], int(r["toxic"] > 0)) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["doc_id"] in docs]
+    chosen, kept = plain_fit(rows)
+    ship(spark)
+    model = X.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert sorted(model.weights) == chosen and len(chosen) > 3 and (np.diff(model.cuts) > 0).all()
+    best = loss(model.weights, model.cuts, kept)
+    for t in chosen:
+        for step in (-0.1, 0.1):
+            assert loss(model.weights | {t: max(0.0, model.weights[t] + step)}, model.cuts, kept) >= best - 1e-4
+    for k in range(len(model.cuts)):
+        for step in (-0.1, 0.1):
+            assert loss(model.weights, [c + step * (j == k) for j, c in enumerate(model.cuts)], kept) >= best - 1e-4
+    got = {r["doc_id"]: r for r in queries()["op3_toxicity"](spark, folder).collect()}
+    assert len(got) == len(docs)
+    import re
+
+    for i, text in docs.items():
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        found = (words | {w[:4] + "-" for w in words if len(w) >= 5}) & model.weights.keys()
+        z = sum(model.weights[t] for t in found)
+        above = [1 / (1 + np.exp(-(z - c))) for c in model.cuts]
+        assert got[i]["severity"] == pytest.approx(sum(above), abs=2e-6) and got[i]["indicative_terms"] == len(found)
+        assert got[i]["toxic"] == (sum(above) >= X.TOXIC)
+
+
+def test_an_id_that_repeats_is_gathered_once(spark):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in ("ba", "ke", "lo", "mi") for b in "drst" for c in ("ul", "en", "or", "ash")]
+    text = lambda *own: " ".join(rng.permutation([*rng.choice(words, 20), *own]))
+    base = [(k, text(), 1, 0) for k in range(200)] + [(1000 + k, text("nasty", "insult"), 1, 1) for k in range(60)]
+    more = [(1000, base[-60][1], 1, 1) for _ in range(500)]
+    schema = "doc_id long, text string, quality int, toxic int"
+    once, often = spark.createDataFrame(base, schema), spark.createDataFrame(base + more, schema)
+    model = X.fit(often.select("doc_id", "text"), often.select("doc_id", "quality", "toxic"))
+    assert set(model.weights) >= {"nasty", "insult"} and set(X.fit(once, once).weights) == set(model.weights)
+
+
+def test_grades_may_be_a_column(spark):
+    rows = [(k, 0, 1, k % 4) for k in range(8)] + [(None, 1, 1, 2), (3, 1, 1, None)]
+    got = {r["doc_id"]: r["grade"] for r in X.graded(spark.createDataFrame(rows, "doc_id long, quality int, toxic int, grade int")).collect()}
+    assert got == {k: k % 4 for k in range(8)}
+    got = {r["doc_id"]: r["grade"] for r in X.graded(spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 0, 0), (4, None, 1), (5, 1, None)], "doc_id long, quality int, toxic int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1}
