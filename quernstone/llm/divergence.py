@@ -6,18 +6,22 @@ A document fails where either distance is over its limit; a sample of n words st
 so the words' limit is ``MAX_WORDS_DISTANCE`` + ``WORDS_SLACK`` / sqrt(n). Documents with fewer than ``MIN_CHARS`` characters, or fewer than
 ``MIN_WORDS`` words for the words' distance, are too short to judge and pass.
 
-Texts are read once: histograms are counted per document, checkpointed as two short arrays, summed by language, and joined
-back by language. The limits are parameters.
-
-Defined results: a null or empty text has distances null and passes; documents with a null language, or one without a word
-list, form languages of their own, the latter with the one bin for words (distance 0); repeated rows count as often as
-they occur; extra columns are ignored; an empty table gives an empty result.
+Common words are those that make up at least ``COMMON_SHARE`` of all words of a language's documents, of any language that there
+is. A word of that share has it in one task's documents at least, so a first pass gathers the words that have it in any task; a
+second counts these, exactly, over all documents. Histograms are counted per document and checkpointed as two short arrays. What
+is gathered is a row for each language, with no more words than tasks / ``COMMON_SHARE`` and some tens of them as a rule; it
+is broadcast where it has at most ``MAX_BROADCAST`` numbers, and else joined over ``SALTS`` parts of each language.
+
+Defined results: a null or empty text has distances null and passes; documents with a null language form a language of their
+own; a language without a common word has the one bin for words (distance 0); very long texts are counted whole; repeated rows count as
+often as they occur and get equal results, as do ties; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +34,8 @@ from quernstone.llm._common import checkpointed, code_points, map_rows, text_gro
 
 MIN_CHARS, MIN_WORDS, MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE, WORDS_SLACK = 200, 40, 0.25, 0.3, 0.6
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "letter", "other"]
-COMMON = {
-    "en": "the of and to in a is that for it as was with be by on not he this are or at from his but an they which you one".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-}
-COMMON = {k: list(dict.fromkeys(v)) for k, v in COMMON.items()}
+#: The least share of a common word; how many numbers of references are broadcast, and the parts of a language beyond.
+COMMON_SHARE, MAX_BROADCAST, SALTS = 0.01, 2_000_000, 64
 _STOP = set(".,;:!?")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -48,7 +47,7 @@ def _classes() -> np.ndarray:
         k = unicodedata.category(ch)
         return 3 if ch in " \t\n\r" else 4 if ch in _STOP else 0 if k == "Ll" else 1 if k == "Lu" else 2 if k == "Nd" else 6 if k[0] == "L" else 5 if k[0] in "PS" else 7
 
-    return np.array([of(c) for c in range(0x10000)], np.int64)
+    return np.array([of(c) for c in range(0x110000)], np.int64)
 
 
 def char_histograms(texts: list) -> np.ndarray:
@@ -56,56 +55,91 @@ def char_histograms(texts: list) -> np.ndarray:
     for a, b in text_groups(texts):
         codes, doc = code_points(texts[a:b])
         keep = np.concatenate([doc[1:] == doc[:-1], [False]])  # all but the 0 that ends each text
-        kind = np.where(codes < 0x10000, _classes()[np.minimum(codes, 0xFFFF)], 7)[keep]
+        kind = _classes()[codes[keep]]
         out.append(np.bincount(doc[keep] * len(CLASSES) + kind, minlength=(b - a) * len(CLASSES)).reshape(b - a, len(CLASSES)))
     return np.concatenate(out)
 
 
-def word_histogram(text: str | None, lang: str | None) -> list[int]:
-    listed = COMMON.get(lang, [])
-    words = _WORD.findall(text.lower()) if text else []
-    number = {w: k for k, w in enumerate(listed)}
-    out = [0] * (len(listed) + 1)
-    for w in words:
-        out[number.get(w, -1)] += 1
-    return out
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts, 0 to 1."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2))
+def candidates(docs: DataFrame, share: float = COMMON_SHARE) -> dict[str | None, list[str]]:
+    """By language the words that have the share in the documents of any one task."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str | None, Counter] = {}
+        for f in frames:
+            for lang, text in zip(f["lang"], f["text"]):
+                found.setdefault(lang if isinstance(lang, str) else None, Counter()).update(words_of(text))
+        rows = [(lang, w) for lang, own in found.items() for w, n in own.items() if n >= share * own.total()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["lang", "word"])
+
+    out: dict[str | None, list[str]] = {}
+    for r in docs.select("lang", "text").where("text IS NOT NULL").mapInPandas(count, "lang string, word string").distinct().collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def word_histogram(text: str | None, number: dict[str, int]) -> list[int]:
+    """How often a text has each of the numbered words, and last, how many others it has."""
+    out = [0] * (len(number) + 1)
+    for w, n in Counter(words_of(text)).items():
+        out[number.get(w, -1)] += n
+    return out
 
 
-def histograms(docs: DataFrame) -> DataFrame:
+def histograms(docs: DataFrame, listed: dict[str | None, list[str]]) -> DataFrame:
     """(doc_id, lang, n_chars, n_words, chars, words) of every row."""
+    number = {k: {w: i for i, w in enumerate(v)} for k, v in listed.items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = [t if isinstance(t, str) else "" for t in f["text"]]
             chars = char_histograms(texts)
-            words = [word_histogram(t, k if isinstance(k, str) else None) for t, k in zip(texts, f["lang"])]
+            words = [word_histogram(t, number.get(k if isinstance(k, str) else None, {})) for t, k in zip(texts, f["lang"])]
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "n_chars": chars.sum(1), "n_words": [sum(w) for w in words], "chars": list(chars), "words": words})
 
     return map_rows(docs.select("doc_id", "lang", "text"), run, "doc_id long, lang string, n_chars long, n_words long, chars array<long>, words array<long>")
 
 
-def _summed(column: str, size: int) -> Column:
-    return F.array(*[F.coalesce(F.sum(F.get(column, F.lit(k))), F.lit(0)) for k in range(size)])
+def references(own: DataFrame, listed: dict[str | None, list[str]], share: float = COMMON_SHARE) -> list[tuple]:
+    """(language, shares of the character classes, places of the common words among the listed, their shares and that of all others)."""
+    width = max(map(len, listed.values()), default=0) + 1
+    summed = lambda column, size: F.array(*[F.coalesce(F.sum(F.get(column, F.lit(k))), F.lit(0)) for k in range(size)])
+    out = []
+    for lang, chars, words in own.groupBy("lang").agg(summed("chars", len(CLASSES)), summed("words", width)).collect():
+        n = sum(words)
+        places = [k for k in range(len(listed.get(lang, []))) if words[k] >= share * n]
+        rest = n - sum(words[k] for k in places)
+        out.append((lang, [c / max(1, sum(chars)) for c in chars], places, [x / max(1, n) for x in [*(words[k] for k in places), rest]]))
+    return out
+
+
+def _distance(counts: Column, n: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, 0 to 1, of n things in counts from the reference's shares."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    terms = F.zip_with(F.transform(counts, lambda c: c / n), reference, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
 def judge(docs: DataFrame, max_chars_distance: float = MAX_CHARS_DISTANCE, max_words_distance: float = MAX_WORDS_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, chars_distance, words_distance, keep)."""
-    own = checkpointed(histograms(docs))
-    width = max(map(len, COMMON.values())) + 1
-    reference = own.groupBy(F.col("lang").alias("language")).agg(_summed("chars", len(CLASSES)).alias("all_chars"), _summed("words", width).alias("all_words"))
-    # Arrays of a language have one length; the sums are as wide as the longest.
-    joined = own.join(reference, F.col("lang").eqNullSafe(F.col("language"))).withColumn("all_words", F.slice("all_words", F.lit(1), F.size("words")))
-    chars = F.when(F.col("n_chars") >= min_chars, F.round(_distance(F.col("chars"), F.col("all_chars")), 6))
-    words = F.when((F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words), F.round(_distance(F.col("words"), F.col("all_words")), 6))
-    found = joined.select("doc_id", "n_words", chars.alias("chars_distance"), words.alias("words_distance"))
+    listed = candidates(docs)
+    own = checkpointed(histograms(docs, listed))
+    found = references(own, listed)
+    reference = docs.sparkSession.createDataFrame(found, "language string, ref_chars array<double>, places array<int>, ref_words array<double>")
+    if sum(len(r[1]) + len(r[2]) + len(r[3]) for r in found) <= MAX_BROADCAST:
+        joined = own.join(F.broadcast(reference), F.col("lang").eqNullSafe(F.col("language")))
+    else:
+        parts = reference.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(SALTS))).join(parts, F.col("lang").eqNullSafe(F.col("language")) & (F.col("salt") == F.col("part")))
+    common = F.transform("places", lambda k: F.get("words", k))
+    binned = joined.withColumn("common", common).withColumn("binned", F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x))))
+    chars = F.when(F.col("n_chars") >= min_chars, F.round(_distance(F.col("chars"), F.col("n_chars"), F.col("ref_chars")), 6))
+    words = F.when((F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words), F.round(_distance(F.col("binned"), F.col("n_words"), F.col("ref_words")), 6))
+    judged = binned.select("doc_id", "n_words", chars.alias("chars_distance"), words.alias("words_distance"))
     limit = F.lit(max_words_distance) + F.lit(WORDS_SLACK) / F.sqrt(F.greatest("n_words", F.lit(1)))
     keep = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars_distance) & (F.coalesce("words_distance", F.lit(0.0)) <= limit)
-    return found.select("doc_id", "chars_distance", "words_distance", keep.alias("keep"))
+    return judged.select("doc_id", "chars_distance", "words_distance", keep.alias("keep"))
