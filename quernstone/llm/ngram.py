@@ -17,8 +17,8 @@ the shared folder that executors map into memory.
 Counting is combined within a task, and again by range of a hash; the model is put together on the driver, which holds
 the distinct n-grams once, several times that while sorting. A scoring task remembers the n-grams that it has looked up.
 
-Defined results: a null or empty text is scored as its end alone (1 symbol); repeated rows count as often as they occur
-and get equal scores; an empty table gives an empty result; extra columns are ignored.
+Defined results: a null or empty text is scored as its end alone (1 symbol); very long texts are counted and scored whole; repeated
+rows count as often as they occur and get equal scores, as do equal texts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +43,16 @@ _MASK = np.uint64((1 << (BITS * ORDER)) - 1)
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers below ``universe``: l low bits each, and the high parts in unary."""
+    """A non-decreasing sequence of n integers below ``universe``: l low bits each, and the high parts in unary.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
+    The high bits come with the number of ones before each block of 8 words, and with the block of every 512th zero: an eighth
+    and less of their size. A search reads a few places of these files, never a whole one.
+    """
+
+    WORDS, SAMPLE = 8, 512
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.low, self.high, self.rank, self.zeros = n, low_bits, low, high, rank, zeros
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> EliasFano:
@@ -60,22 +66,25 @@ class EliasFano:
             np.bitwise_or.at(low, word, x << shift)
             over = (shift + np.uint64(l)) > 64
             np.bitwise_or.at(low, word[over] + 1, x[over] >> (np.uint64(64) - shift[over]))
+        block = 64 * EliasFano.WORDS
         size = n + int(universe >> l) + 2
-        bits = np.zeros(-(-size // 64) * 64, np.uint8)
+        bits = np.zeros(-(-size // block) * block, np.uint8)
         bits[(v >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
-        return EliasFano(n, l, low, high, ones)
+        rank = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, EliasFano.WORDS).sum(1, dtype=np.int64))])
+        before = np.arange(len(rank), dtype=np.int64) * block - rank
+        zeros = np.searchsorted(before, np.arange(0, before[-1], EliasFano.SAMPLE), "right") - 1
+        return EliasFano(n, l, low, high, rank, np.concatenate([zeros, [len(rank) - 2]]))
 
     def save(self, path: str) -> None:
         np.save(f"{path}.meta.npy", np.array([self.n, self.l]))
-        for name in ("low", "high", "ones"):
+        for name in ("low", "high", "rank", "zeros"):
             np.save(f"{path}.{name}.npy", getattr(self, name))
 
     @staticmethod
     def load(path: str) -> EliasFano:
         n, l = np.load(f"{path}.meta.npy").tolist()  # noqa: E741
-        return EliasFano(n, l, *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "ones")))
+        return EliasFano(n, l, *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "rank", "zeros")))
 
     @staticmethod
     def _in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -99,16 +108,30 @@ class EliasFano:
         x |= np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, 1)), 0).astype(np.uint64)
         return (x & np.uint64((1 << self.l) - 1)).astype(np.int64)
 
+    def _select(self, block: np.ndarray, nth: np.ndarray, flip: bool) -> np.ndarray:
+        """Positions of one (or, flipped, zero) number ``nth`` of each block."""
+        words = self.high[block[:, None] * self.WORDS + np.arange(self.WORDS)]
+        words = ~words if flip else words
+        until = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (until <= nth[:, None]).sum(1)
+        rows = np.arange(len(block))
+        before = np.where(word > 0, until[rows, np.maximum(word - 1, 0)], 0)
+        return (block * self.WORDS + word) * 64 + self._in_word(words[rows, word], nth - before)
+
     def access(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, "right") - 1
-        at = word * 64 + self._in_word(self.high[word], i - self.ones[word])
+        block = np.searchsorted(self.rank, i, "right") - 1
+        at = self._select(block, i - self.rank[block], False)
         return (at - i) << self.l | self._lows(i)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Position of zero number k of the high bits."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        word = np.searchsorted(zeros, k, "right") - 1
-        return word * 64 + self._in_word(~self.high[word], k - zeros[word])
+        size = 64 * self.WORDS
+        low, high = self.zeros[k // self.SAMPLE].astype(np.int64), self.zeros[k // self.SAMPLE + 1].astype(np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            right = mid * size - self.rank[mid] <= k
+            low, high = np.where(right, mid, low), np.where(right, high, mid - 1)
+        return self._select(low, k - (low * size - self.rank[low]), True)
 
     def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value of at least x in [begin, end) (end if none) and the value there."""

@@ -9,7 +9,7 @@ from quernstone.llm._common import ship
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("n,universe", [(0, 10), (1, 1), (5, 5), (1000, 3000), (1000, 10**9), (5000, 5000)])
+@pytest.mark.parametrize("n,universe", [(0, 10), (1, 1), (5, 5), (1000, 3000), (1000, 10**9), (5000, 5000), (40_000, 100), (100, 40_000), (30_000, 90_000)])
 def test_elias_fano_round_trip(n, universe):
     rng = np.random.default_rng(n)
     v = np.sort(rng.integers(0, universe, n))
@@ -22,6 +22,41 @@ def test_elias_fano_round_trip(n, universe):
         assert (i == want).all() and all(f == (v[k] if k < n else -1) for f, k in zip(found, want))
 
 
+def test_searches_read_few_places(tmp_path):
+    """Memory-mapped files stay mapped: nothing as long as the level is held."""
+    v = np.sort(np.random.default_rng(1).integers(0, 4_000_000, 1_000_000))
+    N.EliasFano.build(v, 4_000_000).save(str(tmp_path / "x"))
+    e = N.EliasFano.load(str(tmp_path / "x"))
+    assert all(isinstance(getattr(e, f), np.memmap) for f in ("low", "high", "rank", "zeros"))
+    assert e.rank.nbytes + e.zeros.nbytes < e.high.nbytes
+    import tracemalloc
+
+    tracemalloc.start()
+    i, found = e.successor(v[::100_000], np.zeros(10, np.int64), np.full(10, len(v)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == v[::100_000]).all() and peak < 100_000
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Whole rows from plain dictionaries. Without quantising they are equal; with it, a document's mean strays little."""
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).select("doc_id", "text").cache()
+    rows = docs.collect()
+    plain = Plain([r["text"] for r in rows])
+    coarse = {r["doc_id"]: r for r in N.score(docs.repartition(3)).collect()}
+    monkeypatch.setattr(N, "quantise", lambda x: np.unique(x, return_inverse=True)[::-1] if len(x) else (np.zeros(0, int), np.zeros(1)))
+    got = {r["doc_id"]: r for r in N.score(docs.repartition(3)).collect()}
+    assert sorted(got) == sorted(coarse) == [r["doc_id"] for r in rows]
+    for r in rows:
+        s = (0,) * (N.ORDER - 1) + tuple(N.symbols([r["text"]])[0].tolist())
+        want = sum(math.log(plain.p(s[k : k + N.ORDER])) for k in range(len(s) - N.ORDER + 1))
+        g = got[r["doc_id"]]
+        assert g["symbols"] == len(r["text"]) + 1 and g["log_probability"] == pytest.approx(want, abs=1e-3 * g["symbols"] + 1e-3)
+        assert coarse[r["doc_id"]]["log_probability"] == pytest.approx(want, abs=0.05 * g["symbols"])
+        assert g["bits_per_symbol"] == pytest.approx(-g["log_probability"] / math.log(2) / g["symbols"], abs=1e-4)
+
+
 class Plain:
     """Interpolated Kneser-Ney over dictionaries, straight from its definition."""
 
