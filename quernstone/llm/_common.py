@@ -23,10 +23,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset and all run on this machine, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quernstone-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

@@ -18,9 +18,13 @@ the other three segments, and the triples' bits. It holds the key and all that v
 they meet, with neither texts nor a second join. Within a bucket, connected components are found by sweeps from one member
 over all that aren't reached yet, so that a bucket of thousands of copies costs few sweeps, and every bucket is done in full.
 
-Defined results: a null text is in no group; texts without a word (empty, punctuation) are grouped when equal; rows that
-repeat (same id, same text) are copies and one stays; the row that stays in a group is the one with the least doc_id (null
-last), then the least text hash; extra columns pass through untouched; empty tables give empty results.
+Scale: a key has 24 bits in each of ten tables, so a bucket holds strangers where distinct fingerprints are far more than 2^24
+times a few: with N of them some 28 N / 2^24 in a bucket, and the time of a bucket grows with its square. README gives figures.
+
+Defined results: a null text is in no group; texts without a word (empty, punctuation) are grouped when equal; very long texts are
+hashed whole; rows that repeat (same id, same text) are copies and one stays, of rows that differ in other columns the one of least hash;
+the row that stays in a group is the one with the least doc_id (null last), then the least text hash; extra columns pass through
+untouched, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ TABLES = list(combinations(range(SEGMENTS), 2))
 _GENERATOR = 0xAE3
 _WORD = re.compile(r"\w+")
 _SMALL = 8
+#: Rows to drop that are broadcast at most, 16 bytes each; beyond, they are joined by shuffling.
+MAX_BROADCAST = 2_000_000
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -339,21 +345,25 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TR
     return found.select("doc_id", F.col("keep_id").alias("duplicate_of"), (F.col("copies") - _same().cast("int")).alias("copies")).where("copies > 0")
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, limit: int = TRIPLES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` with one row of each group; rows with a null text stay.
 
-    Texts are shuffled only where the rows to drop are too many to broadcast.
+    Up to ``max_broadcast`` rows to drop are broadcast (id and text hash) and texts stay where they are; beyond, documents are
+    shuffled by id and text hash, which no key can make hot but a repeated row, whose copies are combined before.
     """
     found = groups(docs, threshold, limit).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), _same().alias("__same"), "copies")
     drop = checkpointed(found.where("NOT __same OR copies > 1"))
     repeated = drop.where("__same").select("__id", "__th")
+    small = drop.count() <= max_broadcast
 
     def keyed(how: str, keys: DataFrame) -> DataFrame:
-        return docs.join(keys.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__th"]), how)
+        return docs.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__th"]), how)
 
     rest = keyed("left_anti", drop.select("__id", "__th"))
     if repeated.isEmpty():
         return rest
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     number = "__th" + "_" * max(map(len, docs.columns))
-    once = keyed("left_semi", repeated).withColumn(number, F.xxhash64("text")).dropDuplicates(["doc_id", number]).drop(number)
+    # The least row by a hash of all its columns; partial aggregates leave one row of each task.
+    once = keyed("left_semi", repeated).groupBy("doc_id", F.xxhash64("text").alias(number)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
     return rest.unionByName(once)

@@ -79,6 +79,62 @@ def test_groups_match_brute_force(spark):
     assert kept == {r["doc_id"] for r in got} - set(found)
 
 
+def union(pairs, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    return [find(k) for k in range(n)]
+
+
+def test_no_pair_within_the_exact_radius_is_missed(spark):
+    """Every pair up to EXACT bits of the whole table is in one group, and of all verified pairs the stated share."""
+    ship(spark)
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").orderBy("doc_id").limit(1000).select("doc_id", "text")
+    texts = [r["text"] for r in rows.collect()]
+    seg, triples = S.fingerprints_of(texts)
+    bits = np.unpackbits(np.ascontiguousarray(seg.astype(">u4")).view(np.uint8).reshape(len(seg), -1), axis=1).astype(np.int32)
+    word = bits.sum(1)[:, None] + bits.sum(1) - 2 * bits @ bits.T
+    three = np.bitwise_count((triples[:, None] ^ triples[None, :]).view(np.uint64))
+    full = (seg[:, 0] >= 0)[:, None] & (seg[:, 0] >= 0)
+    root = {r["doc_id"]: r["keep_id"] for r in S.groups(rows).collect()}
+    ids = [r["doc_id"] for r in rows.collect()]
+    near = np.argwhere(np.triu(full & (word <= S.EXACT) & (three <= S.TRIPLES), 1))
+    assert len(near) > 20 and all(root[ids[i]] == root[ids[j]] for i, j in near)
+    every = np.argwhere(np.triu(full & (word <= S.THRESHOLD) & (three <= S.TRIPLES), 1))
+    assert np.mean([root[ids[i]] == root[ids[j]] for i, j in every]) >= 0.92
+    # And nothing else is joined: groups are components of verified pairs.
+    joined = union(every.tolist(), len(ids))
+    place = {i: k for k, i in enumerate(ids)}
+    plain = {t: k for k, t in reversed(list(enumerate(texts)))}
+    assert all(joined[k] == joined[place[root[i]]] or texts[k] == texts[place[root[i]]] for k, i in enumerate(ids)) and plain
+
+
+def test_texts_stay_where_they_are(spark):
+    """The plan of the stage has no exchange of a row with its text; beyond the bound the result is the same."""
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = S.deduplicate(docs)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sorted(r["doc_id"] for r in S.deduplicate(docs, max_broadcast=0).collect()) == sorted(r["doc_id"] for r in found.collect())
+
+
+def test_of_repeated_rows_one_stays_whatever_the_order(spark):
+    ship(spark)
+    rows = [(1, "some words that repeat", f"s{k}") for k in range(9)] + [(2, "others that do not", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(sorted(map(str, S.deduplicate(df.repartition(n)).collect()))) for n in (1, 4, 7)}
+    assert len(got) == 1 and len(got.pop()) == 2
+
+
 def test_copies_and_strangers(spark):
     ship(spark)
     rnd = random.Random(4)
