@@ -72,7 +72,8 @@ def candidates(docs: DataFrame, share: float = COMMON_SHARE) -> dict[str | None,
         for f in frames:
             for lang, text in zip(f["lang"], f["text"]):
                 found.setdefault(lang if isinstance(lang, str) else None, Counter()).update(words_of(text))
-        rows = [(lang, w) for lang, own in found.items() for w, n in own.items() if n >= share * own.total()]
+        least = {lang: share * own.total() for lang, own in found.items()}
+        rows = [(lang, w) for lang, own in found.items() for w, n in own.items() if n >= least[lang]]
         if rows:
             yield pd.DataFrame(rows, columns=["lang", "word"])
 
