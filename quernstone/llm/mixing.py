@@ -6,26 +6,33 @@ exceeds its limit. With sources sorted by limit / weight the clamped ones are a
 pass of running sums over the table of sources. A source's epochs are its share over its size: every document is
 repeated the whole part of them, and once more where the seeded hash of its id is under the fraction.
 
-Sizes are characters over all documents. Nothing but a row for each source is gathered; these are joined back by source.
+Sizes are characters over all documents. Nothing but a row for each source is gathered, and checkpointed; where there are at most
+``MAX_BROADCAST`` sources they are broadcast and documents stay in place, else documents are joined over ``SALTS`` parts of each source.
 
 Defined results: a null source is a source of its own; a null or empty text has size 0 and is repeated like the others of its
 source; a source of size 0 has 0 epochs; sources without a target weight get weight 0 where weights are given, else all
-weights are equal; a budget beyond what max_epochs allows is cut down to it; repeated rows have equal hashes and so equal
-repetitions; an empty table gives an empty result; extra columns pass through ``mix``.
+weights are equal; weights, epochs or a budget that are negative or no number are an error; a budget beyond what max_epochs allows is
+cut down to it; sources that tie in limit / weight are clamped together; a very long text counts with all its characters; repeated
+rows have equal hashes and so equal repetitions; an empty table gives an empty result; extra columns, whatever their names, pass through ``mix``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm._common import unit_hash
+from quernstone.llm._common import checkpointed, unit_hash
 
 MAX_EPOCHS, SEED = 4.0, 7
+MAX_BROADCAST, SALTS = 100_000, 64
 
 
 def shares(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS, budget: float | None = None) -> DataFrame:
     """(source, docs, size, weight, allocated, epochs): one row for each source; ``budget`` defaults to the corpus's size."""
+    if any(not x >= 0 or math.isinf(x) for x in [*(weights or {}).values(), max_epochs, budget or 0.0]):
+        raise ValueError("weights, epochs and budget have to be finite and not negative")
     sized = docs.groupBy("source").agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size"))
     if weights is None:
         weight = F.lit(1.0)
@@ -53,8 +60,14 @@ def _times(seed: int) -> Column:
 def _joined(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """(doc_id, row, __epochs): each row as a struct, so that no name of its columns can clash, with its source's epochs."""
     own = docs.select("doc_id", F.col("source").alias("__own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    plan = plan.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"))
-    return own.join(plan, F.col("__own").eqNullSafe(F.col("__source"))).drop("__own", "__source")
+    plan = checkpointed(plan.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs")))
+    same = F.col("__own").eqNullSafe(F.col("__source"))
+    if plan.count() <= MAX_BROADCAST:
+        return own.join(F.broadcast(plan), same).drop("__own", "__source")
+    # Any part of a source gives the same result; which one a row takes follows from where it is read.
+    salted = own.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    parts = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(parts, same & (F.col("__salt") == F.col("__part"))).drop("__own", "__source", "__salt", "__part")
 
 
 def repetitions(docs: DataFrame, weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:

@@ -57,3 +57,22 @@ def test_sql_agrees(spark):
     want = con.execute(f"SELECT doc_id, source, repetitions, epochs FROM ({M.ORACLE_SQL})").fetchall()
     got = [tuple(r) for r in M.repetitions(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "source", "repetitions", "epochs").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_documents_stay_in_place_and_many_sources_give_the_same(spark, monkeypatch):
+    """Up to the bound the plan broadcasts sources and moves no document; beyond it the result is the same."""
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = M.mix(docs)
+    want = sorted(map(str, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(M, "MAX_BROADCAST", 0)
+    assert sorted(map(str, M.mix(docs).collect())) == want
+
+
+@pytest.mark.parametrize("bad", [{"weights": {"a": -1.0}}, {"weights": {"a": float("nan")}}, {"max_epochs": -1.0}, {"budget": float("inf")}])
+def test_senseless_weights_are_errors(spark, bad):
+    docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string")
+    with pytest.raises(ValueError):
+        M.shares(docs, **bad)
