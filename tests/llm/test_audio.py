@@ -32,6 +32,36 @@ def test_a_tone_keeps_its_frequency():
     assert np.abs(A.resample([high])[0][1000:15_000]).max() < 0.05  # above half the new rate
 
 
+@pytest.mark.parametrize("rate", [8000, 16_000, 22_050, 48_000, 96_000])
+def test_other_rates(rate):
+    """A tone keeps its frequency and length at any rate, and what the new rate can't hold is gone."""
+    t = np.arange(rate) / rate
+    tone = lambda hz: np.round(128 + 100 * np.sin(2 * np.pi * hz * t)).astype(np.uint8).tobytes()
+    y = A.resample([tone(1000)], rate)[0][: A.RATE_OUT]
+    assert abs(np.abs(np.fft.rfft(y)).argmax() - 1000) <= 1 and 0.7 < np.abs(y[2000:14_000]).max() < 0.9
+    assert A.frame_counts(np.array([rate]), rate)[0] == 1 + (A.RATE_OUT - A.WINDOW) // A.HOP
+    if rate > 30_000:
+        assert np.abs(A.resample([tone(12_000)], rate)[0][1000:15_000]).max() < 0.05
+    with pytest.raises(ValueError):
+        A.ratio(0)
+
+
+def test_stored_tensors(spark, tmp_path):
+    ship(spark)
+    rows = [(k, clip(3000 + 977 * k, k)) for k in range(12)] + [(20, None)]
+    found = A.features(spark.createDataFrame(rows, "doc_id long, sound binary").repartition(3), F.col("sound"))
+    written = A.write_tensors(found, f"file://{tmp_path}/tensors").collect()
+    table = pa.concat_tables([pa.parquet.read_table(r["file"]) for r in written])
+    assert isinstance(table.schema.field("features").type, pa.FixedShapeTensorType) and table.schema.field("features").type.shape == A.SHAPE
+    assert len(table) == sum(r["windows"] for r in written) == found.count()
+    want = {(r["doc_id"], r["window"]): (r["start_ms"], r["end_ms"], r["features"]) for r in found.collect()}
+    data = table["features"].combine_chunks().to_numpy_ndarray()
+    for k, r in enumerate(table.select(["doc_id", "window", "start_ms", "end_ms"]).to_pylist()):
+        start, end, features = want[r["doc_id"], r["window"]]
+        assert (start, end) == (r["start_ms"], r["end_ms"]) and data[k].ravel() == pytest.approx(features)
+    assert len(list((tmp_path / "tensors").iterdir())) == len(written)
+
+
 def test_log_mel_matches_direct_sums():
     data = clip(6000, 1)
     mels, db, n = A.log_mel([data])
