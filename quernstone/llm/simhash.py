@@ -228,14 +228,19 @@ def bucket_links(key: np.ndarray, prints: Prints) -> tuple[np.ndarray, np.ndarra
             us.append((at + x)[ok])
             vs.append((at + y)[ok])
     for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
-        left = np.arange(start, start + size)
+        left, bits = np.arange(start, start + size), prints.triples[start : start + size]
         while len(left):
-            root, left = int(left[0]), left[1:]
+            root, left, bits = int(left[0]), left[1:], bits[1:]
             queue = [root]
             while queue and len(left):
-                near = prints.near(left, queue.pop())
-                if near.any():
-                    found, left = left[near], left[~near]
+                one = queue.pop()
+                # Of strangers some 1 in 250 is this near in its triples; only these are compared in full.
+                maybe = np.flatnonzero(np.bitwise_count(bits ^ prints.triples[one]) <= prints.limit)
+                maybe = maybe[prints.near(left[maybe], one)] if len(maybe) else maybe
+                if len(maybe):
+                    found, rest = left[maybe], np.ones(len(left), bool)
+                    rest[maybe] = False
+                    left, bits = left[rest], bits[rest]
                     us.append(np.full(len(found), root))
                     vs.append(found)
                     queue.extend(found.tolist())

@@ -52,7 +52,7 @@ def test_expectation_maximisation_matches_direct_search(fitted):
     assert theta[0] == pytest.approx(grid[int(np.argmax(values))], abs=0.02) and max(values) - L.TOLERANCE <= ll <= max(values) + 1e-3
 
 
-def climb(counts, p, rounds=3000):
+def climb(counts, p, rounds=800):
     """Expectation-maximisation straight from its definition: what each component takes of each trigram."""
     theta = np.full(len(p), 1 / len(p))
     for _ in range(rounds):
@@ -66,7 +66,7 @@ def test_chosen_sets_match_brute_force(fitted):
     from itertools import combinations
 
     model, held = fitted
-    texts = [held[k]["text"][:300] + " " + held[k + 1]["text"][:600] for k in range(0, 24, 2)]
+    texts = [held[k]["text"][:300] + " " + held[k + 1]["text"][:600] for k in range(0, 14, 2)]
     counts = L.trigram_counts(texts)
     share, score = model.infer(counts)
     for c, s, mean in zip(counts, share, score):
