@@ -66,6 +66,8 @@ def _validate(spark: SparkSession, path: str, fmt: str) -> int:
     try:
         lines = datasets.read_lines(spark, path)
         bad = lines.where("NOT ok").count()
+        for r in lines.where("NOT ok").orderBy("file", "line").limit(20).collect():
+            print(f"Line {r['line']}: skipped, no JSON", file=sys.stderr)
         records = datasets.indexed(lines.where("ok"))
         if records.isEmpty():
             print("no valid record", file=sys.stderr)

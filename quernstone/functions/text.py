@@ -40,6 +40,13 @@ CODE_PATTERNS = [
     r"(?dm)=>|->|;\s*$",
     r"(?dmU)^\s*\w+\s*=\s*\w+\s*\(",
 ]
+#: Up to so many different characters of a text are counted one by one.
+KINDS = 128
+#: Dollars for a million tokens in and out, by model; others have the fallback price.
+PRICES = {
+    "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4-turbo": (10.0, 30.0), "gpt-3.5-turbo": (0.5, 1.5),
+    "claude-3-5-sonnet-20241022": (3.0, 15.0), "claude-3-haiku-20240307": (0.25, 1.25), "gemini/gemini-1.5-pro": (1.25, 5.0), "gemini/gemini-1.5-flash": (0.075, 0.3),
+}
 CODE_LINE = r"(?U)^(?:\w+\s*=|(?:def|class|import|from) |\w+\([^\n]*\)\s*$)"
 
 
@@ -127,15 +134,25 @@ def char_entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for an empty text.
 
     Characters are counted and taken out one after the other, in the order in which they first occur: frequent ones occur
-    early, so little is left to go over after a few.
+    early, so little is left to go over after a few. Texts with more than ``KINDS`` different ones have theirs sorted and counted in runs.
     """
     n = _length(text)
     start = F.struct(text.alias("rest"), F.lit(0.0).alias("sum"))
+    weight = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
 
     def step(acc: Column, c: Column) -> Column:
-        return let(F.replace(acc.rest, c, F.lit("")), lambda rest: F.struct(rest.alias("rest"), (acc["sum"] + let(_length(acc.rest) - _length(rest), lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0))).alias("sum")))
+        return let(F.replace(acc.rest, c, F.lit("")), lambda rest: F.struct(rest.alias("rest"), (acc["sum"] + let(_length(acc.rest) - _length(rest), weight)).alias("sum")))
 
-    total = F.aggregate(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), start, step, lambda acc: acc["sum"])
+    run = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def next_run(acc: Column, c: Column) -> Column:
+        same = acc["c"] == c
+        return F.struct(c.alias("c"), F.when(same, acc["n"] + 1.0).otherwise(1.0).alias("n"), F.when(same, acc["sum"]).otherwise(acc["sum"] + weight(acc["n"])).alias("sum"))
+
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    few = lambda kinds: F.aggregate(kinds, start, step, lambda acc: acc["sum"])
+    many = F.aggregate(F.sort_array(each), run, next_run, lambda acc: acc["sum"] + weight(acc["n"]))
+    total = let(F.array_distinct(each), lambda kinds: F.when(F.size(kinds) <= KINDS, few(kinds)).otherwise(many))
     return F.when(n > 0, F.log2(n) - total / n).when(text.isNotNull(), F.lit(0.0))
 
 
@@ -231,6 +248,14 @@ def fallback_cost(tokens_in: Column, tokens_out: Column) -> Column:
     return tokens_in / 1000 * 0.01 + tokens_out / 1000 * 0.03
 
 
+def cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]] = PRICES) -> Column:
+    """The price of a call in dollars by its model's entry in ``prices``, the fallback price where it has none."""
+    out = fallback_cost(tokens_in, tokens_out)
+    for name, (into, back) in prices.items():
+        out = F.when(model == name, tokens_in / 1_000_000 * into + tokens_out / 1_000_000 * back).otherwise(out)
+    return out
+
+
 def format_cost(cost: Column) -> Column:
     return F.when(cost < 0.01, F.format_string("$%.4f", F.round(F.round(cost, 6), 4))).otherwise(F.format_string("$%.2f", F.round(F.round(cost, 6), 2)))
 

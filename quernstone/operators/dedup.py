@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -93,11 +93,11 @@ def near_fingerprints(left: DataFrame, right: DataFrame | None = None, distance:
 
 
 def exact_duplicates(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """(doc_id, duplicate_of): rows whose text occurs earlier in the order."""
-    same = Window.partitionBy("digest").orderBy(order)
-    ranked = docs.select(order, F.md5("text").alias("digest")).where("digest IS NOT NULL")
-    ranked = ranked.withColumn("duplicate_of", F.first(order).over(same)).withColumn("n", F.row_number().over(same))
-    return ranked.where("n > 1").select(order, "duplicate_of")
+    """(doc_id, duplicate_of): rows whose text occurs earlier in the order. The first of each text is found by partial aggregates, so
+    copies are never sorted together."""
+    digests = docs.select(order, F.md5("text").alias("digest")).where("digest IS NOT NULL")
+    first = digests.groupBy("digest").agg(F.min(order).alias("duplicate_of"), F.count("*").alias("n")).where("n > 1").select("digest", "duplicate_of")
+    return digests.join(first, "digest").where(F.col(order) > F.col("duplicate_of")).select(order, "duplicate_of")
 
 
 def is_registered(probes: DataFrame, registered: DataFrame) -> DataFrame:
@@ -105,21 +105,40 @@ def is_registered(probes: DataFrame, registered: DataFrame) -> DataFrame:
     return probes.join(registered.select(F.md5("text").alias("__digest")).distinct(), F.md5(probes["text"]) == F.col("__digest"), "left_semi")
 
 
+def classes(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of the documents with a text, and (fp, class_id, copies): documents of equal fingerprints are a class, named by its
+    first. Both are checkpointed, so fingerprints are taken once."""
+    own = checkpointed(docs.select(order, simhash("text").alias("fp")).where("fp IS NOT NULL"))
+    return own, checkpointed(own.groupBy("fp").agg(F.min(order).alias("class_id"), F.count("*").alias("copies")))
+
+
 def near_matches(probes: DataFrame, registered: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
-    """(probe, doc_id, distance): every registered document within the distance of each probe."""
-    p = probes.select(F.col(id_col).alias("probe"), simhash("text").alias("fp")).where("fp IS NOT NULL")
-    r = registered.select(id_col, simhash("text").alias("other")).where("other IS NOT NULL")
-    pairs = near_fingerprints(p, r.select(F.col("other").alias("fp")), distance)
-    return p.join(pairs, "fp").join(r, "other").select("probe", id_col, hamming(F.col("fp"), F.col("other")).alias("distance"))
+    """(probe, class_id, copies, distance): every class of registered documents within the distance of each probe."""
+    p = checkpointed(probes.select(F.col(id_col).alias("probe"), simhash("text").alias("fp")).where("fp IS NOT NULL"))
+    known = classes(registered, id_col)[1].withColumnRenamed("fp", "other")
+    pairs = near_fingerprints(p, known.select(F.col("other").alias("fp")), distance)
+    return p.join(pairs, "fp").join(known, "other").select("probe", "class_id", "copies", hamming(F.col("fp"), F.col("other")).alias("distance"))
 
 
 def near_pairs(docs: DataFrame, distance: int = DISTANCE, order: str = "doc_id") -> DataFrame:
-    """(a, b, distance): all pairs of documents within the distance, a before b, copies included."""
-    own = docs.select(order, simhash("text").alias("fp")).where("fp IS NOT NULL")
-    found = near_fingerprints(own, distance=distance)
-    both = found.unionByName(found.select(F.col("other").alias("fp"), F.col("fp").alias("other"))).unionByName(own.select("fp", F.col("fp").alias("other")).distinct())
-    a, b = own.select(F.col(order).alias("a"), "fp"), own.select(F.col(order).alias("b"), F.col("fp").alias("other"))
-    return a.join(both, "fp").join(b, "other").where("a < b").select("a", "b", hamming(F.col("fp"), F.col("other")).alias("distance"))
+    """(a, b, distance, copies_a, copies_b): pairs of classes within the distance, a before b; ``near_classes`` has who is in a class."""
+    return _class_pairs(classes(docs, order)[1], distance)
+
+
+def _class_pairs(found: DataFrame, distance: int) -> DataFrame:
+    pairs = near_fingerprints(found, distance=distance)
+    x = found.select("fp", F.struct("class_id", "copies").alias("x"))
+    y = found.select(F.col("fp").alias("other"), F.struct("class_id", "copies").alias("y"))
+    both = pairs.join(x, "fp").join(y, "other").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g"), hamming(F.col("fp"), F.col("other")).alias("distance"))
+    return both.select(F.col("l.class_id").alias("a"), F.col("g.class_id").alias("b"), "distance", F.col("l.copies").alias("copies_a"), F.col("g.copies").alias("copies_b"))
+
+
+def near_classes(docs: DataFrame, distance: int = DISTANCE, order: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, copies, links): each document's class, its size, and how many other classes are within the distance."""
+    own, found = classes(docs, order)
+    pairs = _class_pairs(found, distance)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return own.join(found, "fp").join(links, "class_id", "left").select(order, "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _settle(edges: DataFrame) -> DataFrame:

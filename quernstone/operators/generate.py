@@ -50,19 +50,30 @@ def expand(plan: DataFrame, max_samples: int = 100, batch_size: int = 10) -> Dat
 
 
 def context_sample(cells: DataFrame, chunks: DataFrame, key: list[str], n: int = 3, seed: int = 42) -> DataFrame:
-    """(key..., context, source_ids): for each cell ``n`` chunks (doc_id, pos, chunk), fewer where there are fewer.
+    """(key..., context, source_ids): for each cell ``n`` different chunks (doc_id, pos, chunk), fewer where there are fewer, drawn
+    for each cell on its own.
 
-    The chunks with the least seeded hashes are dealt to the cells in order, starting over when they run out. Only as many
-    as the cells need are gathered, by a top-k over (hash, doc_id, pos); texts are joined to these. Text and source are drawn
-    together, so a sample's sources are where its context came from.
+    Each cell draws ``n`` of the places of a shuffled table of chunks by a seeded hash; cells may meet. Only which draws are
+    equal matters to a shuffled order, so the drawn places are renumbered from 0 without gaps and only as many chunks as there
+    are numbers are taken, those with the least seeded hashes: a top-k over (hash, doc_id, pos), to which texts are joined. Text
+    and source are drawn together, so a sample's sources are where its context came from.
     """
-    numbered = cells.select(*key).distinct().withColumn("__cell", F.row_number().over(Window.orderBy(*key)) - 1)
-    need = numbered.count() * n  # a plan's cells are few
     hashed = chunks.select("doc_id", "pos", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("pos").cast("string"))).alias("h"))
-    pool = hashed.orderBy("h", "doc_id", "pos").limit(max(need, 1)).withColumn("rank", F.row_number().over(Window.orderBy("h", "doc_id", "pos")) - 1)
-    size = pool.agg(F.count("*").alias("size"))
-    dealt = numbered.crossJoin(F.broadcast(size)).where("size > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size").cast("int")) - 1)))
-    dealt = dealt.withColumn("rank", ((F.col("__cell") * n + F.col("k")) % F.col("size")).cast("int"))
+    size = hashed.count()
+    if not size:
+        return cells.select(*key, F.lit("").alias("context"), F.array().cast("array<bigint>").alias("source_ids")).limit(0)
+    take = min(n, size)
+
+    def draw(have, k):
+        most = F.lit(size - take).cast("long") + k  # of the places up to here one that isn't taken, or else this one
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key], k.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+        place = F.floor(u * (most + 1)).cast("long")
+        return F.array_append(have, F.when(F.array_contains(have, place), most).otherwise(place))
+
+    drawn = cells.select(*key).distinct().withColumn("places", F.aggregate(F.sequence(F.lit(0), F.lit(take - 1)), F.array().cast("array<bigint>"), draw))
+    dealt = drawn.select(*key, F.posexplode("places").alias("k", "place")).withColumn("rank", F.dense_rank().over(Window.orderBy("place")) - 1)
+    need = (dealt.agg(F.max("rank")).first()[0] or 0) + 1  # a plan's cells are few
+    pool = hashed.orderBy("h", "doc_id", "pos").limit(need).withColumn("rank", F.row_number().over(Window.orderBy("h", "doc_id", "pos")) - 1)
     texts = dealt.join(pool.select("rank", "doc_id", "pos"), "rank").join(chunks, ["doc_id", "pos"])
     items = F.array_sort(F.collect_list(F.struct("k", "doc_id", "chunk")))
     return texts.groupBy(*key).agg(items.alias("i")).select(*key, F.array_join(F.transform("i", lambda x: x["chunk"]), "\n\n").alias("context"), F.transform("i", lambda x: x["doc_id"]).alias("source_ids"))

@@ -8,9 +8,11 @@ from collections import defaultdict
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.sources.shared import checkpointed
+
 
 # ---- diversity of samples (subtopic, difficulty, question) ----
 
@@ -74,21 +76,20 @@ def cost_rollup(ledger: DataFrame) -> DataFrame:
     return ledger.rollup("stage", "model").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-def running(ledger: DataFrame, limit: float | None = None, order: list[str] | None = None, width: Column | None = None) -> DataFrame:
+def running(ledger: DataFrame, limit: float | None = None, order: list[str] | None = None) -> DataFrame:
     """``ledger`` with ``spent``, the cost up to and with each row, ``remaining`` and ``over`` (spent is over the limit).
 
-    A running total over one order is sequential; to keep it parallel rows are cut into buckets by ``width`` (an expression
-    that doesn't fall along the order, by default the day of the first order column): totals of buckets, few rows, run up
-    first and each bucket then adds its own running total.
+    A running total over one order is sequential; to keep it parallel rows are cut into ranges of the whole order, of about
+    equal numbers of rows however many share a time: totals of ranges, a row for each task, run up first and each range then
+    adds its own running total. The ranges are checkpointed, so that both see the same ones.
     """
     order = order or ["ts", "seq"]
-    bucket = F.to_date(order[0]) if width is None else width
-    marked = ledger.withColumn("__b", bucket)
+    marked = checkpointed(ledger.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy(F.col("__b").alias("b")).agg(F.sum("cost").alias("s")).select("b", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__start"))
     own = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     spent = F.col("__start") + F.sum("cost").over(own)
-    out = marked.join(starts, F.col("__b").eqNullSafe(F.col("b"))).withColumn("spent", spent)
+    out = marked.join(F.broadcast(starts), F.col("__b") == F.col("b")).withColumn("spent", spent)  # a row for each range
     ceiling = F.lit(float(limit)) if limit is not None else F.lit(None).cast("double")
     return out.select(*ledger.columns, "spent", F.greatest(F.lit(0.0), ceiling - F.col("spent")).alias("remaining"), F.coalesce(F.col("spent") > ceiling, F.lit(False)).alias("over"))
 
@@ -141,7 +142,7 @@ class Limits:
 
 
 def gates(metrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(gate, passed, actual, threshold) for a row (total, duplicates, diversity, pass_rate, cost); compares unrounded values."""
+    """(gate, passed, actual, threshold) for a row (total, duplicates, diversity, pass_rate, cost), compared as they are given."""
     rate = F.when(F.col("total") > 0, F.col("duplicates") / F.col("total")).otherwise(0.0)
     cost = F.lit(limits.max_cost).cast("double")
     rows = [

@@ -169,10 +169,14 @@ class Pipeline:
         self.spark, self.settings, self.client = spark, settings or Settings(), client or clients.Echo(lambda p: "")
         self.stages: list[tuple[str, Callable[[Context], None]]] = [(n, STAGES.get(n)) for n in (stages or NAMES)]
         self.hooks, self.collector = hooks or Hooks(), metrics.Collector()
+        #: Which stages run only where this says so; collecting is left out where documents are given.
+        self.when: dict[str, Callable[[Context], bool]] = {"collect": lambda c: "pages" in c.tables}
 
-    def add_stage(self, name: str, stage: Callable[[Context], None], before: str | None = None) -> None:
+    def add_stage(self, name: str, stage: Callable[[Context], None], before: str | None = None, when: Callable[[Context], bool] | None = None) -> None:
         at = next((k for k, (n, _) in enumerate(self.stages) if n == before), len(self.stages))
         self.stages.insert(at, (name, stage))
+        if when is not None:
+            self.when[name] = when
 
     def _context(self, topic: str, run_id: str) -> Context:
         s = self.settings
@@ -205,8 +209,8 @@ class Pipeline:
         self.hooks.emit(Event.PIPELINE_START, topic=topic, run_id=c.run_id)
         try:
             for name, stage in left:
-                if name == "collect" and "pages" not in c.tables:
-                    continue  # documents are given
+                if not self.when.get(name, lambda _: True)(c):
+                    continue
                 self.hooks.emit(Event.STAGE_START, stage=name)
                 with self.collector.timer(name):
                     stage(c)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
 from quernstone.functions import web as W
 from quernstone.operators import collect as K
 from quernstone.operators import metrics as M
 from quernstone.operators import validate as V
+from quernstone.plans import dedup_queries as DQ
 from quernstone.plans import text_sql as Q
 from quernstone.plans import verify_queries as VQ
 from quernstone.plans.registry import query, table
 from quernstone.sources import datasets as D
 from quernstone.sources import store
+from quernstone.sources.shared import shared_path
+from quernstone.streaming import incremental as S
 
 # ---- validation of records ----
 
@@ -171,8 +178,6 @@ def split_sizes(spark, sf_dir):
 
 @query("SELECT conv_id, turn, md5(text) AS digest FROM conversations")
 def jsonl_roundtrip(spark, sf_dir):
-    from quernstone.sources.shared import shared_path
-
     at = shared_path(spark, "roundtrip") + "/turns.jsonl"
     D.to_jsonl(table(spark, sf_dir, "conversations"), at)
     value = F.parse_json("record")
@@ -181,8 +186,6 @@ def jsonl_roundtrip(spark, sf_dir):
 
 @query("""SELECT conv_id, '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']' AS turns FROM conversations GROUP BY 1""")
 def parquet_flatten(spark, sf_dir):
-    from quernstone.sources.shared import shared_path
-
     nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     at = shared_path(spark, "flat")
     D.to_parquet(nested, at)
@@ -194,6 +197,100 @@ def kv_upsert_latest(spark, sf_dir):
     return store.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
+# ---- files: lines with their numbers, positions over a folder, export ----
+
+_LINES = "lines AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)"
+
+
+def _written(spark, sf_dir, label):
+    """The turns as lines of one file in order: every fifth is blank, every seventh broken."""
+    at = shared_path(spark, label) + "/turns.jsonl"
+    n = F.row_number().over(Window.orderBy("conv_id", "turn"))  # a fixture of a few lines, numbered to tell what is to be read
+    line = F.when(F.col("n") % 5 == 0, "  ").when(F.col("n") % 7 == 0, F.concat(F.lit('{"broken": '), F.to_json(F.struct("text")))).otherwise(F.to_json(F.struct("conv_id", "turn", "text")))
+    D._write_text(table(spark, sf_dir, "conversations").withColumn("n", n).select(line.alias("value")), at, True)
+    return at
+
+
+@query(f"WITH {_LINES} SELECT n AS line, n % 7 <> 0 AS ok FROM lines WHERE n % 5 <> 0")
+def jsonl_line_numbers(spark, sf_dir):
+    return D.read_lines(spark, _written(spark, sf_dir, "lines")).select("line", "ok")
+
+
+@query(f"WITH {_LINES} SELECT row_number() OVER (ORDER BY n) - 1 AS idx, md5(text) AS digest FROM lines WHERE n % 5 <> 0 AND n % 7 <> 0")
+def jsonl_positions(spark, sf_dir):
+    at = _written(spark, sf_dir, "positions")
+    found = D.indexed(D.from_directory(spark, at.rpartition("/")[0]))
+    return found.select("idx", F.md5(F.variant_get(F.parse_json("record"), "$.text", "string")).alias("digest"))
+
+
+@query("SELECT '{\"id\":' || doc_id || '}' AS line FROM labels WHERE NOT (toxic = 1) UNION ALL SELECT 'total ' || count(*) FROM labels WHERE NOT (toxic = 1)")
+def export_dataset(spark, sf_dir):
+    """The exported lines and the metadata's total; rejected samples stay out."""
+    out = shared_path(spark, "export")
+    rows = table(spark, sf_dir, "labels").select(F.to_variant_object(F.struct(F.col("doc_id").alias("id"))).alias("content"), F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").alias("verdict"))
+    D.export(rows, "a topic", out)
+    about = spark.read.text(f"{out}/a_topic_metadata.json").select(F.concat(F.lit("total "), F.get_json_object("value", "$.total_samples")).alias("line"))
+    return spark.read.text(f"{out}/a_topic_dataset.jsonl").select(F.col("value").alias("line")).unionByName(about)
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, CASE WHEN c_nationkey = 3 THEN '{"again":' || c_custkey || '}' ELSE '{"name":"' || c_name || '"}' END AS data FROM customer WHERE c_custkey <> 2
+UNION ALL SELECT 'state', '{"stage":"clean"}' UNION ALL SELECT 'one', '{"name":"Customer#000000001"}' UNION ALL SELECT 'none', NULL""")
+def store_documents(spark, sf_dir):
+    """Saved, replaced and deleted documents, one that is loaded, one that isn't there, and a run's state."""
+    kept = store.ParquetStore(spark, shared_path(spark, "store"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_nationkey", "c_name", "c_custkey")
+    kept.save("customers", own.select("doc_id", F.to_json(F.struct(F.col("c_name").alias("name"))).alias("data")))
+    kept.save("customers", own.where("c_nationkey = 3").select("doc_id", F.to_json(F.struct(F.col("c_custkey").alias("again"))).alias("data")))
+    kept.delete("customers", "2")
+    kept.save_state("run", '{"stage":"clean"}')
+    first = kept.load("customers", "1")
+    single = spark.createDataFrame([("state", kept.load_state("run")), ("one", first), ("none", kept.load("customers", "2"))], "doc_id string, data string")
+    return kept.documents("customers").unionByName(single)
+
+
+@query("SELECT conv_id * 100 + turn AS idx, 'metadata is no object' AS kind, 'metadata' AS key, NULL::VARCHAR AS detail FROM conversations WHERE turn % 3 > 0")
+def lineage_warnings(spark, sf_dir):
+    """Metadata that is text or a list, not an object."""
+    k = F.col("turn") % 3
+    record = F.concat(F.lit('{"metadata": '), F.when(k == 0, '{"difficulty": "easy"}').when(k == 1, F.to_json(F.array("text"))).otherwise(F.lit('"none"')), F.lit("}"))
+    return V.lineage_warnings(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), record.alias("record")))
+
+
+@query("""SELECT conv_id * 100 + turn AS idx, CASE WHEN turn % 2 = 0 THEN 'missing' ELSE 'empty' END AS kind, 'conversations' AS key, NULL::VARCHAR AS detail FROM conversations""")
+def schema_errors_chat(spark, sf_dir):
+    record = F.when(F.col("turn") % 2 == 0, '{"messages": []}').otherwise('{"conversations": []}')
+    return V.schema_errors(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), record.alias("record")), "chat")
+
+
+@query("""SELECT event_id, model, CASE model WHEN 'gpt-4o' THEN user_id / 1000000.0::DOUBLE * 2.5::DOUBLE + user_id * 2 / 1000000.0::DOUBLE * 10::DOUBLE WHEN 'gpt-4o-mini' THEN user_id / 1000000.0::DOUBLE * 0.15::DOUBLE + user_id * 2 / 1000000.0::DOUBLE * 0.6::DOUBLE
+ELSE user_id / 1000.0::DOUBLE * 0.01::DOUBLE + user_id * 2 / 1000.0::DOUBLE * 0.03::DOUBLE END AS cost FROM (SELECT *, ['gpt-4o', 'gpt-4o-mini', 'another'][user_id % 3 + 1] AS model FROM events)""")
+def model_cost(spark, sf_dir):
+    u = F.col("user_id")
+    model = F.element_at(F.array(*map(F.lit, ("gpt-4o", "gpt-4o-mini", "another"))), (u % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", model.alias("model"), T.cost(model, u, u * 2).alias("cost"))
+
+
+# ---- streams, read to their end ----
+
+
+@query(f"WITH {_LEDGER} SELECT stage, model, round(sum(cost), 6) AS cost FROM led GROUP BY ALL")
+def stream_ledger(spark, sf_dir):
+    name = f"spent_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    calls = events.select(F.col("event_type").alias("stage"), F.concat(F.lit("model"), F.col("user_id") % 3).alias("model"), F.coalesce(F.col("value"), F.lit(0.0)).alias("cost"))
+    run = S.spent(calls).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "ledger")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("stage", "model", F.round("cost", 6).alias("cost"))
+
+
+@query(DQ.WALK + " SELECT doc_id FROM decided WHERE NOT is_duplicate")
+def stream_dedup(spark, sf_dir):
+    at = shared_path(spark, "stream")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    S.dedup_stream(docs.select("doc_id", "text"), f"{at}/registry", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id")
+
+
 # ---- web ----
 
 LISTED = ["example.org", "m.example.com"]
@@ -205,6 +302,15 @@ def blocked_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", W.host(F.col("url")).alias("host"), W.is_blocked(F.col("url"), LISTED).alias("blocked"))
 
 
+@query("SELECT page_id::VARCHAR AS query, 0 AS pos, url FROM pages UNION ALL SELECT page_id::VARCHAR, 1, 'https://example.com/a b?' || page_id FROM pages")
+def search_links(spark, sf_dir):
+    """Result pages that link to a page directly, twice, by a redirect and to themselves."""
+    link = lambda *u: F.concat(F.lit('<a href="'), *u, F.lit('">x</a>'))
+    direct = link("url")
+    html = F.concat(direct, link(F.lit("/here")), link(F.lit("//s.example/l/?uddg=https%3A%2F%2Fexample.com%2Fa%20b%3F"), "page_id", F.lit("&amp;rut=1")), direct)
+    return K.search_urls(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("query"), html.alias("html")))
+
+
 @query("SELECT min(page_id) AS page_id, url FROM pages GROUP BY url")
 def url_dedup(spark, sf_dir):
     return K.first_urls(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "url")

@@ -35,17 +35,29 @@ def doc_simhash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", D.unsigned(D.simhash("text")).alias("fingerprint"))
 
 
-@query(f"WITH {FP} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.fp, y.fp))::INTEGER AS distance FROM fps x JOIN fps y ON x.doc_id < y.doc_id AND bit_count(xor(x.fp, y.fp)) <= {D.DISTANCE}")
+CLASSES = "cls AS MATERIALIZED (SELECT fp, min(doc_id) AS class_id, count(*) AS copies FROM fps GROUP BY fp)"
+_NEAR = f"bit_count(xor(x.fp, y.fp)) <= {D.DISTANCE}"
+
+
+@query(f"""WITH {FP}, {CLASSES} SELECT x.class_id AS a, y.class_id AS b, bit_count(xor(x.fp, y.fp))::INTEGER AS distance, x.copies AS copies_a, y.copies AS copies_b
+FROM cls x JOIN cls y ON x.class_id < y.class_id AND {_NEAR}""")
 def near_dup_pairs(spark, sf_dir):
+    """Pairs of classes of equal fingerprints; ``near_dup_classes`` has the class of each document."""
     return D.near_pairs(table(spark, sf_dir, "documents"))
 
 
+@query(f"""WITH {FP}, {CLASSES}, links AS (SELECT x.class_id, count(*) AS links FROM cls x JOIN cls y ON x.fp <> y.fp AND {_NEAR} GROUP BY 1)
+SELECT doc_id, class_id, copies, coalesce(links, 0) AS links FROM fps JOIN cls USING (fp) LEFT JOIN links USING (class_id)""")
+def near_dup_classes(spark, sf_dir):
+    return D.near_classes(table(spark, sf_dir, "documents"))
+
+
 @query("SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM benchmark)")
 def exact_membership(spark, sf_dir):
     return D.is_registered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id")
 
 
-@query(f"WITH {FP} SELECT x.doc_id AS probe, y.doc_id, bit_count(xor(x.fp, y.fp))::INTEGER AS distance FROM fps x JOIN labels l USING (doc_id) JOIN fps y ON bit_count(xor(x.fp, y.fp)) <= {D.DISTANCE} WHERE l.toxic = 1")
+@query(f"WITH {FP}, {CLASSES} SELECT x.doc_id AS probe, y.class_id, y.copies, bit_count(xor(x.fp, y.fp))::INTEGER AS distance FROM fps x JOIN labels l USING (doc_id) JOIN cls y ON {_NEAR} WHERE l.toxic = 1")
 def near_matches_of_toxic(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     probes = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id")

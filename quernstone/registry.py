@@ -7,11 +7,40 @@ from collections import defaultdict
 from collections.abc import Callable
 from enum import Enum
 from importlib.metadata import entry_points
-from typing import Any
+from typing import Any, Protocol
+
+from pyspark.sql import Column, DataFrame
 
 log = logging.getLogger("quernstone")
 
 
+class Stage(Protocol):
+    """Changes a run's context. Registered with ``when``, it is left out where that says no to the context."""
+
+    def __call__(self, context: Any) -> None: ...
+
+
+class Critic(Protocol):
+    """(sample_id, critic_model, issues, severity, passed) for samples."""
+
+    def __call__(self, samples: DataFrame) -> DataFrame: ...
+
+
+class Scorer(Protocol):
+    """(sample_id, scorer_model, ..., overall) for samples."""
+
+    def __call__(self, samples: DataFrame) -> DataFrame: ...
+
+
+class Template(Protocol):
+    """A record format: its prompts, how a model's text is read, and which records are whole."""
+
+    def system_prompt(self) -> str: ...
+    def prompt(self, concept: Column, context: Column, difficulty: Column) -> Column: ...
+    def parse(self, raw: Column, concept: Column, subtopic: Column, difficulty: Column) -> Column: ...
+    def is_valid(self, record: Column) -> Column: ...
+
+
 class Registry:
     """Names to objects. Registering another object under a name that is taken is an error."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,16 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions.text import file_stem, strip
+from quernstone.sources.shared import checkpointed
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, record, ok): the lines of a JSONL file, or of a folder's ``*.jsonl`` files, that aren't blank.
 
-    ``line`` rises within a file. A line is ok when it is JSON. A missing path is an error.
+    ``file`` is the whole path, ``line`` the line's number in it from 1, blank lines included. A line is ok when it is JSON. A
+    missing path is an error. Files are read in blocks: lines are numbered within each, and the blocks' sizes, a row for each,
+    run up by file.
     """
     raw = spark.read.option("pathGlobFilter", "*.jsonl").text(path) if not path.endswith(".jsonl") else spark.read.text(path)
-    lines = raw.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), strip(F.col("value")).alias("record"))
-    return lines.where("record <> ''").withColumn("ok", F.try_parse_json("record").isNotNull())
+    # Numbers rise by one within a block, which one task reads from its begin to its end.
+    numbered = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), strip(F.col("value")).alias("record"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    lines = numbered.where("record <> ''").join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first") + 1).alias("line"), "record")
+    return lines.withColumn("ok", F.try_parse_json("record").isNotNull())
 
 
 def from_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -32,15 +41,19 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_directory(spark: SparkSession, path: str) -> DataFrame:
-    """The good lines of all ``*.jsonl`` files of a folder; order by (file, line)."""
-    return from_jsonl(spark, path)
+    """The good lines of all ``*.jsonl`` files of a folder in the order of (file, line): tasks hold ranges of it, each sorted."""
+    return from_jsonl(spark, path).orderBy("file", "line")
 
 
 def indexed(records: DataFrame) -> DataFrame:
-    """(idx, record): positions from 0 in the order of (file, line), counted by file and running up within each."""
-    files = records.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    return records.join(files, "file").select((F.col("before") + own).alias("idx"), "record")
+    """(idx, record): positions from 0 in the order of (file, line).
+
+    Counted by ranges of (file, line) and running up within each, so that one large file isn't one task's."""
+    ranged = checkpointed(records.repartitionByRange("file", "line").withColumn("__b", F.spark_partition_id()))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(F.col("__b").alias("b")).agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("__b").orderBy("file", "line")) - 1
+    return ranged.join(F.broadcast(starts), F.col("__b") == F.col("b")).select((F.col("start") + own).alias("idx"), "record")  # a row for each range
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -52,8 +65,33 @@ def as_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
-def to_jsonl(df: DataFrame, path: str) -> None:
-    df.select(as_json(df).alias("value")).write.mode("overwrite").text(path)
+def _write_text(lines: DataFrame, path: str, one_file: bool) -> None:
+    """A folder of part files, or one file: the parts, written by all tasks, are then appended in order by the driver, streaming."""
+    if not one_file:
+        lines.write.mode("overwrite").text(path)
+        return
+    spark = lines.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    fs.delete(to, True)
+    out = fs.create(to, True)
+    try:
+        for status in sorted(fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)), key=lambda x: x.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                into = fs.open(status.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, 1 << 20, False)
+                into.close()
+    finally:
+        out.close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
+
+
+def to_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder with a part for each task, or one file; an existing one is replaced."""
+    _write_text(df.select(as_json(df).alias("value")), path, one_file)
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -88,14 +126,16 @@ def with_splits(df: DataFrame, train=0.8, val=0.1, test=0.1, seed: int = 42, id_
     return placed.select(*df.columns, F.when(F.col("__at") <= cut1, "train").when(F.col("__at") <= cut1 + cut2, "validation").otherwise("test").alias("split"))
 
 
-def export(samples: DataFrame, topic: str, out_dir: str, run_id: str = "") -> int:
-    """Writes the accepted samples' ``content`` to <topic>_dataset.jsonl and a one-row <topic>_metadata.json; nothing without samples."""
+def export(samples: DataFrame, topic: str, out_dir: str, run_id: str = "", one_file: bool = True) -> int:
+    """Writes the accepted samples' ``content`` to <topic>_dataset.jsonl and <topic>_metadata.json; nothing without samples.
+
+    Both are files; ``one_file=False`` leaves the dataset as a folder of parts, for sizes that one file shouldn't have."""
     kept = samples.where("verdict IS NULL OR verdict <> 'reject'")
     n = kept.count()
     if n:
         spark = samples.sparkSession
         stem = spark.range(1).select(file_stem(F.lit(topic)).alias("s")).first()["s"]
-        kept.select(F.to_json("content").alias("value")).write.mode("overwrite").text(f"{out_dir}/{stem}_dataset.jsonl")
+        _write_text(kept.select(F.to_json("content").alias("value")), f"{out_dir}/{stem}_dataset.jsonl", one_file)
         about = {"topic": topic, "run_id": run_id, "total_samples": n, "exported_at": datetime.now(timezone.utc).isoformat()}
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/{stem}_metadata.json")
+        _write_text(spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1), f"{out_dir}/{stem}_metadata.json", True)
     return n

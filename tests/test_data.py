@@ -51,12 +51,22 @@ def test_jsonl_and_parquet(spark, tmp_path):
     (tmp_path / "d/c.txt").write_text('{"k": 9}\n')
     at = str(tmp_path / "d")
     assert [json.loads(r["record"])["k"] for r in D.indexed(D.from_directory(spark, at)).orderBy("idx").collect()] == [1, 2, 3]
-    assert [r["record"] for r in D.bad_lines(spark, at).collect()] == ["broken"]
+    assert [(r["file"].rpartition("/")[2], r["line"], r["record"]) for r in D.bad_lines(spark, at).collect()] == [("a.jsonl", 3, "broken")]
+    assert [(r["file"].rpartition("/")[2], r["line"]) for r in D.from_directory(spark, at).collect()] == [("a.jsonl", 1), ("a.jsonl", 4), ("b.jsonl", 1)]
+    (tmp_path / "d/e").mkdir()
+    (tmp_path / "d/e/a.jsonl").write_text('{"k": 4}\n')
+    both = spark.read.option("recursiveFileLookup", "true").text([at]).count()
+    assert both and D.indexed(D.from_jsonl(spark, at).unionByName(D.from_jsonl(spark, f"{at}/e"))).count() == 4
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         D.from_jsonl(spark, str(tmp_path / "no.jsonl")).collect()
     df = spark.createDataFrame([(1, None, [1, 2], {"a": "ü"})], "i int, n string, l array<int>, m map<string,string>")
     D.to_jsonl(df, str(tmp_path / "o.jsonl"))
     assert json.loads(D.from_jsonl(spark, str(tmp_path / "o.jsonl")).first()["record"]) == {"i": 1, "n": None, "l": [1, 2], "m": {"a": "ü"}}
+    many = spark.range(1000).repartition(5).orderBy("id")
+    for _ in range(2):  # the second replaces the first
+        D.to_jsonl(many, str(tmp_path / "one.jsonl"), one_file=True)
+    assert (tmp_path / "one.jsonl").is_file() and [json.loads(x)["id"] for x in (tmp_path / "one.jsonl").read_text().splitlines()] == list(range(1000))
+    assert not list(tmp_path.glob("one.jsonl.parts*"))
     D.to_parquet(df, str(tmp_path / "o.parquet"))
     assert D.from_parquet(spark, str(tmp_path / "o.parquet")).first().asDict() == {"i": 1, "n": None, "l": "[1,2]", "m": '{"a":"ü"}'}
     with pytest.raises(NotImplementedError):
@@ -76,9 +86,28 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, "accept"), (2, "reject"), (3, "revise"), (4, None)], "k int, verdict string").withColumn("content", F.to_variant_object(F.struct("k")))
     assert D.export(df, "a topic/x", str(tmp_path)) == 3
     assert sorted(json.loads(r["value"])["k"] for r in spark.read.text(str(tmp_path / "a_topic_x_dataset.jsonl")).collect()) == [1, 3, 4]
+    assert (tmp_path / "a_topic_x_dataset.jsonl").is_file() and json.loads((tmp_path / "a_topic_x_metadata.json").read_text())["total_samples"] == 3
+    assert D.export(df, "parts", str(tmp_path), one_file=False) == 3 and (tmp_path / "parts_dataset.jsonl").is_dir()
     assert D.export(df.limit(0), "none", str(tmp_path)) == 0 and not (tmp_path / "none_dataset.jsonl").exists()
 
 
+def test_lines_of_a_file_that_is_read_in_blocks(spark, tmp_path):
+    """Line numbers run over the blocks of a file."""
+    at = tmp_path / "big.jsonl"
+    at.write_text("".join("\n" if k % 7 == 0 else f'{{"k": {k}, "pad": "{"x" * (k % 90)}"}}\n' for k in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(at)).rdd.getNumPartitions() > 3
+        got = {json.loads(r["record"])["k"]: r["line"] for r in D.from_jsonl(spark, str(at)).collect()}
+        assert got == {k: k for k in range(1, 3001) if k % 7}
+        assert [json.loads(r["record"])["k"] for r in D.indexed(D.from_jsonl(spark, str(at))).orderBy("idx").collect()] == [k for k in range(1, 3001) if k % 7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_store(spark, tmp_path):
     s = ParquetStore(spark, str(tmp_path))
     rows = lambda *x: spark.createDataFrame(list(x), "doc_id string, data string")
@@ -129,11 +158,28 @@ def test_budget(spark):
     with pytest.raises(M.BudgetExceeded) as e:
         b.record(1, 1, "m", 0.03, "s")
     assert (e.value.spent, e.value.stage) == (pytest.approx(0.06), "s") and b.remaining == 0.0
-    rows = M.running(b.ledger(spark), 0.05, ["seq"], F.lit(0)).orderBy("seq").collect()
+    rows = M.running(b.ledger(spark), 0.05, ["seq"]).orderBy("seq").collect()
     assert [(round(r["spent"], 4), r["over"]) for r in rows] == [(0.03, False), (0.06, True)]
     assert M.cost_by(b.ledger(spark), "stage").first()["calls"] == 2
 
 
+def test_running_total_of_a_hot_time(spark):
+    """A third of all rows share one time: ranges cut it, and the total is that of one sequence."""
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(1)
+    t = datetime(2024, 1, 1)
+    rows = [(t if k % 3 == 0 else t + timedelta(seconds=rnd.randint(-5000, 5000)), k, float(rnd.randint(0, 9))) for k in range(2000)] + [(None, 3000, 1.0)]
+    found = M.running(spark.createDataFrame(rows, "ts timestamp, seq long, cost double"), 500.0)
+    got = {r["seq"]: r for r in found.collect()}
+    total = 0.0
+    for ts, seq, cost in sorted(rows, key=lambda r: (r[0] is not None, r[0] or t, r[1])):
+        total += cost
+        assert got[seq]["spent"] == total and got[seq]["over"] == (total > 500)
+    assert M.running(spark.createDataFrame([], "ts timestamp, seq long, cost double"), 1.0).collect() == []
+
+
 def test_benchmark(spark):
     df = spark.createDataFrame([("accept", 0.9, []), ("revise", None, ["x" * 100, "y"]), ("reject", 0.5, ["y"]), (None, None, None)], "verdict string, quality_score double, issues array<string>")
     assert tuple(M.benchmark(df).first()) == (4, 1, 1, 0.25, 0.7)

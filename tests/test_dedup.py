@@ -46,7 +46,13 @@ def test_anchors(spark, read):
     docs = read("documents", BIG)
     r = D.report(D.greedy(docs)).first()
     assert (r["total"], r["exact_duplicates"], r["near_duplicates"], r["unique"]) == (1000, 71, 85, 844)
-    assert D.near_pairs(docs).count() == 309
+    of = {r["doc_id"]: r for r in D.near_classes(docs).collect()}
+    size = {r["class_id"]: r["copies"] for r in of.values()}
+    pairs = D.near_pairs(docs).collect()
+    # Between documents these are 309 pairs: within classes, and between those of two classes.
+    assert sum(n * (n - 1) // 2 for n in size.values()) + sum(r["copies_a"] * r["copies_b"] for r in pairs) == 309
+    assert len(of) == 1000 == sum(size.values()) and all(size[r["a"]] == r["copies_a"] and size[r["b"]] == r["copies_b"] and r["a"] < r["b"] for r in pairs)
+    assert all(of[k]["links"] == sum(k in (r["a"], r["b"]) for r in pairs) for k in size)
     assert D.keep(docs).count() == 844
 
 
@@ -73,5 +79,12 @@ def test_near_pairs_are_exact(spark, distance):
 def test_probes(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "z")], "doc_id long, text string")
     probe = spark.createDataFrame([(9, "a b c")], "doc_id long, text string")
-    assert {(r["probe"], r["doc_id"], r["distance"]) for r in D.near_matches(probe, docs).collect()} == {(9, 1, 0), (9, 2, 0)}
+    assert [tuple(r) for r in D.near_matches(probe, docs).collect()] == [(9, 1, 2, 0)]
     assert D.is_registered(docs, probe).count() == 2
+
+
+def test_exact_duplicates_of_a_hot_text(spark):
+    rows = [(k, "a much copied text" if k % 3 else f"own {k}") for k in range(60)] + [(60, None), (61, None), (62, ""), (63, "")]
+    got = {r["doc_id"]: r["duplicate_of"] for r in D.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 1 for k in range(2, 60) if k % 3} | {63: 62}
+    assert D.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -81,6 +81,12 @@ def test_context_samples(spark):
     cells = spark.createDataFrame([(k,) for k in range(4)], "cell int")
     got = G.context_sample(cells, chunks, ["cell"]).collect()
     assert len(got) == 4 and all(len(set(r["source_ids"])) == 3 and r["context"] == "\n\n".join(f"t{i}" for i in r["source_ids"]) for r in got)
+    # Cells draw on their own: 40 cells over 6 chunks meet, and each chunk comes up about as often.
+    many = spark.createDataFrame([(k,) for k in range(40)], "cell int")
+    six = spark.createDataFrame([(k, 0, f"t{k}") for k in range(6)], "doc_id long, pos int, chunk string")
+    drawn = [tuple(sorted(r["source_ids"])) for r in G.context_sample(many, six, ["cell"]).collect()]
+    seen = [sum(k in d for d in drawn) for k in range(6)]
+    assert len(drawn) == 40 and 10 < len(set(drawn)) <= 20 and min(seen) >= 8 and sum(seen) == 120
     assert [len(r["source_ids"]) for r in G.context_sample(cells, chunks.limit(2), ["cell"]).collect()] == [2] * 4
     assert G.context_sample(cells, chunks.limit(0), ["cell"]).collect() == []
 

@@ -50,7 +50,7 @@ def test_whole_run_and_resume(spark, tmp_path, documents):
     found = p.run("a topic", run_id="r1", documents=documents)
     assert found.status == "completed" and found.metrics["samples"] == 8 and found.metrics["pass_rate"] == 1.0 and found.metrics["exported"] == 8
     assert [s for e, s in seen if e == Event.STAGE_END] == NAMES[1:]
-    assert len(os.listdir(tmp_path / "a_topic_dataset.jsonl")) > 1
+    assert len((tmp_path / "a_topic_dataset.jsonl").read_text().splitlines()) == 8
     again = Pipeline(spark, settings(tmp_path), C.Echo(lambda x: 1 / 0)).run("a topic", run_id="r1", resume=True)
     assert again.metrics["samples"] == 8
 
@@ -94,6 +94,8 @@ def test_single_stage_and_dry_run(spark, tmp_path, documents):
     assert p.dry_run("coding")["samples"] == 150 and p.dry_run()["samples"] == 100
     p.add_stage("count", lambda c: c.info.update(n=c.tables["cleaned"].count()), before="analyze")
     assert [n for n, _ in p.stages][2] == "count"
+    p.add_stage("never", lambda c: c.info.update(n=-1), when=lambda c: False)
+    assert not p.when["never"](None) and p.stages[-1][0] == "never"
 
 
 def test_registry():

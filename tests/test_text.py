@@ -77,3 +77,18 @@ def test_clean_chain_and_anchors(spark, read):
     rows = [(1, prose), (2, "x"), (3, "x = f(1);\n" * 40 + prose), (4, None)]
     got = C.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["doc_id"] for r in got] == [1] and got[0]["word_count"] == 18 * 6 and got[0]["chunks"][0].startswith("The people")
+
+
+def test_entropy_of_many_characters(spark):
+    """Few and many different characters are counted in two ways, with one result."""
+    import math
+    from collections import Counter
+
+    from quernstone.functions import text as T
+
+    texts = ["", "aab", "a" * 1000, "".join(chr(0x4E00 + k * k % 3000) for k in range(20_000)), "".join(chr(32 + k % (T.KINDS + 1)) for k in range(5000)), "".join(chr(32 + k % T.KINDS) for k in range(5000)), "\U0001f600\U0001f680é", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["e"] for r in df.select("k", T.char_entropy(F.col("text")).alias("e")).collect()}
+    for k, t in enumerate(texts):
+        want = None if t is None else -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+        assert got[k] == want if want is None else abs(got[k] - want) < 1e-9

@@ -123,3 +123,35 @@ def test_sample_issues(spark):
     df = spark.createDataFrame(rows, "sample_id string, j string").select("sample_id", F.parse_json("j").alias("content"))
     got = {r["sample_id"]: (r["passed"], len(r["issues"])) for r in V.sample_issues(df, ["answer"]).collect()}
     assert got == {"ok": (True, 0), "bad": (False, 3), "own": (False, 2)}
+
+
+def test_answers_agree_by_the_whole_signature(spark):
+    """Answers that begin alike don't agree; those that differ in case, blanks and final marks do."""
+    from quernstone.operators import consistency as C
+
+    answers = [(1, 0, "The cat."), (1, 1, "the dog"), (1, 2, "  The   DOG! "), (2, 0, "a"), (2, 1, "ab"), (3, 0, None)]
+    rows = spark.createDataFrame(answers, "prompt_id long, pos int, answer string")
+    signed = C.answer_signature(F.to_variant_object(F.struct("answer")), F.lit("reasoning"))
+    found = rows.select("prompt_id", "pos", F.concat_ws("-", "prompt_id", "pos").alias("candidate_id"), signed.alias("answer_signature"), F.lit(None).cast("boolean").alias("programmatic_pass"))
+    assert {(r["prompt_id"], r["answer_signature"], r["size"]) for r in C.clusters(found).collect()} == {(1, "the dog", 2), (1, "the cat", 1), (2, "a", 1), (2, "ab", 1), (3, "", 1)}
+    assert {r["prompt_id"]: r["selected_id"] for r in C.winners(found).collect()} == {1: "1-1", 2: None, 3: "3-0"}
+
+
+def test_missing_scores_and_judges(spark):
+    """Samples without critiques, scores or judges, which the queries' tables don't have."""
+    from quernstone.operators import verify as V
+
+    samples = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "sample_id long, agreement_ratio double")
+    critiques = spark.createDataFrame([(1, "m", True, "none")], "sample_id long, critic_model string, passed boolean, severity string").withColumn("issues", F.array().cast("array<string>"))
+    scores = spark.createDataFrame([(1, 0.9), (2, 0.9)], "sample_id long, overall double")
+    assert {r["sample_id"]: (r["verdict"], r["confidence"]) for r in V.consensus(samples, critiques, scores).collect()} == {1: ("accept", 0.9), 2: ("accept", 0.9), 3: ("revise", 0.0)}
+    judges = spark.createDataFrame([(1, "j", "accept", "none", 0.8, "")], "sample_id long, judge_model string, verdict string, severity string, confidence double, reasoning string")
+    assert {r["sample_id"]: r["verdict"] for r in V.consensus_with_judges(samples, critiques, judges).collect()} == {1: "accept", 2: "revise", 3: "revise"}
+
+
+def test_answers_without_grounding(spark):
+    from quernstone.operators import verify as V
+
+    samples = spark.createDataFrame([(1, '{"answer": "known words here"}'), (2, '{"answer": "zq zw ze known"}'), (3, '{"answer": ""}')], "sample_id long, record string").select("sample_id", F.parse_json("record").alias("content"))
+    found = {r["sample_id"]: (r["severity"], r["passed"]) for r in V.factual_critiques(samples, spark.createDataFrame([("Known words HERE",), (None,)], "text string")).collect()}
+    assert found == {1: ("none", True), 2: ("major", False), 3: ("major", False)}
