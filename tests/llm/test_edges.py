@@ -136,3 +136,15 @@ def test_urls(spark):
     assert urls.score(pages.limit(0)).collect() == []
     none = spark.createDataFrame([], "url string, bad int")
     assert {r["probability"] for r in urls.score(pages, none).collect()} == {None, 0.5}
+
+
+def test_urls_ignore_other_columns(spark):
+    from tests.llm.conftest import CLASHING
+
+    ship(spark)
+    found = [(k, f"http://h{k % 3}{'.ads' if k % 4 == 0 else ''}.example.com/{'x' * (k % 50)}?q={k}") for k in range(80)] + [(None, None), (7, "http://h1.example.com/long/" + "y" * 100_000), (8, ""), (8, "")]
+    pages = spark.createDataFrame(found, "page_id long, url string")
+    more = pages.select("*", *[F.lit(f"own {c}").alias(c) for c in [*CLASHING, *urls.SUFFIX, "urls", "hosts", "bad", "probability"] if c != "url"])
+    want = rows(urls.score(pages))
+    assert rows(urls.score(more)) == want and len(want) == len(found)
+    assert rows(urls.score(pages.repartition(9))) == want
