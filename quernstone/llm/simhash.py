@@ -15,8 +15,9 @@ of the distinct word triples, verifies: near-duplicates are at most ``THRESHOLD`
 
 The row that is shuffled is three longs: table, the two codeword indices, how the two segments differ from these codewords,
 the other three segments, and the triples' bits. It holds the key and all that verifies, so candidates are verified where
-they meet, with neither texts nor a second join. Within a bucket, connected components are found by sweeps from one member
-over all that aren't reached yet, so that a bucket of thousands of copies costs few sweeps, and every bucket is done in full.
+they meet, with neither texts nor a second join. Every bucket is done in full: rows are compared in blocks, and where a block has many
+near-duplicates, a connected component is found by sweeps from one member over all that aren't reached yet, so that a bucket of
+thousands of copies costs few sweeps and links in proportion to its rows.
 
 Scale: a key has 24 bits in each of ten tables, so a bucket holds strangers where distinct fingerprints are far more than 2^24
 times a few: with N of them some 28 N / 2^24 in a bucket, and the time of a bucket grows with its square. README gives figures.
@@ -50,7 +51,7 @@ THRESHOLD, TRIPLES = 19, 21
 TABLES = list(combinations(range(SEGMENTS), 2))
 _GENERATOR = 0xAE3
 _WORD = re.compile(r"\w+")
-_SMALL = 8
+_SMALL, _BLOCK = 8, 32
 #: Rows to drop that are broadcast at most, 16 bytes each; beyond, they are joined by shuffling.
 MAX_BROADCAST = 2_000_000
 
@@ -229,19 +230,33 @@ def bucket_links(key: np.ndarray, prints: Prints) -> tuple[np.ndarray, np.ndarra
             vs.append((at + y)[ok])
     for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
         left, bits = np.arange(start, start + size), prints.triples[start : start + size]
-        while len(left):
-            root, left, bits = int(left[0]), left[1:], bits[1:]
-            queue = [root]
+        while len(left) > 1:
+            # Of strangers some 1 in 250 is this near in its triples; only these are compared in full.
+            block = min(_BLOCK, len(left))
+            i, j = np.nonzero(np.bitwise_count(bits[:block, None] ^ bits[None, :]) <= prints.limit)
+            i, j = i[j > i], j[j > i]
+            ok = prints.near(left[i], left[j])
+            i, j = i[ok], j[ok]
+            if len(i) <= 8 * block:  # few: every pair is a link
+                us.append(left[i])
+                vs.append(left[j])
+                left, bits = left[block:], bits[block:]
+                continue
+            # Many: one component is swept from its first member, a link for each of the others.
+            root = int(i[0])
+            queue, first = [int(left[root])], int(left[root])
+            rest = np.ones(len(left), bool)
+            rest[root] = False
+            left, bits = left[rest], bits[rest]
             while queue and len(left):
                 one = queue.pop()
-                # Of strangers some 1 in 250 is this near in its triples; only these are compared in full.
                 maybe = np.flatnonzero(np.bitwise_count(bits ^ prints.triples[one]) <= prints.limit)
                 maybe = maybe[prints.near(left[maybe], one)] if len(maybe) else maybe
                 if len(maybe):
                     found, rest = left[maybe], np.ones(len(left), bool)
                     rest[maybe] = False
                     left, bits = left[rest], bits[rest]
-                    us.append(np.full(len(found), root))
+                    us.append(np.full(len(found), first))
                     vs.append(found)
                     queue.extend(found.tolist())
     return np.concatenate(us), np.concatenate(vs)

@@ -170,6 +170,32 @@ def test_a_large_bucket_is_done_in_full():
     assert len(set(v.tolist())) == 2999
 
 
+@pytest.mark.parametrize("kind", ["strangers", "pairs", "dense", "mixed"])
+def test_links_of_a_bucket_connect_what_all_pairs_do(kind):
+    """And they grow with the rows, not with the pairs."""
+    rng = np.random.default_rng(7)
+    m = 1500
+    parts = [rng.integers(-(2**62), 2**62, m) for _ in range(3)]
+    if kind == "pairs":
+        for x in parts:
+            x[1::2] = x[::2] ^ 1
+    elif kind == "dense":
+        for x in parts:
+            x[:] = x[0] ^ (1 << rng.integers(0, 20, m))
+    elif kind == "mixed":
+        for x in parts:
+            x[:400] = x[0] ^ (1 << rng.integers(0, 20, 400))
+            x[500:1000:2] = x[501:1001:2] ^ 1
+        order = rng.permutation(m)
+        parts = [x[order] for x in parts]
+    prints = S.Prints(*parts)
+    u, v = S.bucket_links(np.zeros(m, np.int64), prints)
+    i, j = np.triu_indices(m, 1)
+    ok = prints.near(i, j)
+    assert union(zip(u.tolist(), v.tolist()), m) == union(zip(i[ok].tolist(), j[ok].tolist()), m)
+    assert len(u) <= 8 * m and (len(u) == 0) == (kind == "strangers")
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "u long, v long")
     found = {r["node"]: r["root"] for r in S.components(chain).collect()}
