@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from quernstone.llm._common import map_rows
 
 LEVEL, CONFIRM, MAX_MISSING = 19, 0.8, 0.34
+_REMEMBERED = 10_000  # characters of a block whose result a task keeps for the next like it
 KEYWORDS = r"licen[sc]e|copyright|©|all rights reserved|spdx|public domain|permission is hereby|redistribution and use|without warranty|creative commons|\bcc by\b|\bcc0\b"
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
@@ -285,11 +286,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
                 clean = unmarked(text)
                 for a, b in blocks(text):
                     block = unwrapped(clean[a:b])
-                    if block not in known:
+                    found = known.get(block)
+                    if found is None:
+                        found = notices.find(block)
                         if len(known) > 10_000:
                             known.clear()
-                        known[block] = notices.find(block)
-                    rows += [{"doc_id": i, "start": a, "chars": b - a, **x} for x in known[block]]
+                        if len(block) <= _REMEMBERED:
+                            known[block] = found
+                    rows += [{"doc_id": i, "start": a, "chars": b - a, **x} for x in found]
             yield pd.DataFrame(rows, columns=columns)
 
     return map_rows(docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + KEYWORDS.replace(" ", r"\W+"))), run, SCHEMA)
