@@ -39,22 +39,20 @@ def test_a_row_for_every_row_with_its_id(spark, nasty, labels, name):
     assert sorted((r["doc_id"] for r in OPERATORS[name](nasty, labels).collect()), key=key) == sorted((r[0] for r in ROWS), key=key)
 
 
-def test_tasks_without_rows(spark, nasty, labels, tmp_path):
+def test_stages_on_tasks_without_rows(spark, nasty, labels, tmp_path):
     ship(spark)
     few = nasty.where("doc_id = 6").repartition(12)
-    for name in OPERATORS:
-        assert rows(OPERATORS[name](few, labels)) == rows(OPERATORS[name](few.coalesce(1), labels))
-    sf_dir = str(tmp_path)
-    labels.write.parquet(f"{sf_dir}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
-        assert rows(stage(spark, few, sf_dir)) == rows(stage(spark, few.coalesce(1), sf_dir))
+        assert rows(stage(spark, few, str(tmp_path))) == rows(stage(spark, few.coalesce(1), str(tmp_path)))
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_results_do_not_depend_on_partitions(spark, nasty, labels, name):
-    """Whole rows, but for features of audio, which other tests hold against definitions."""
+    """Whole rows, but for features of audio, which other tests hold against definitions; some of the tasks have no rows."""
     ship(spark)
-    assert rows(OPERATORS[name](nasty.repartition(12), labels)) == rows(OPERATORS[name](nasty.coalesce(1), labels))
+    assert len(ROWS) < 16
+    assert rows(OPERATORS[name](nasty.repartition(16), labels)) == rows(OPERATORS[name](nasty.coalesce(1), labels))
 
 
 @pytest.fixture
