@@ -85,11 +85,12 @@ def near_fingerprints(left: DataFrame, right: DataFrame | None = None, distance:
     """(fp, other): pairs of the distinct fingerprints ``fp`` within ``distance``; within one table each pair once, fp < other.
 
     Exact by the pigeonhole principle; keys of ``extra`` blocks keep buckets small however many fingerprints there are.
+    The keys are shuffled by hint: Spark takes an exploded table to be as small as what it came from, and would broadcast it.
     """
     a = _keyed(left.select("fp").distinct(), distance, extra)
     b = (a if right is None else _keyed(right.select("fp").distinct(), distance, extra)).withColumnRenamed("fp", "other")
     near = are_near(F.col("fp"), F.col("other"), distance)
-    return a.join(b, "key").where(near & (F.col("fp") < F.col("other")) if right is None else near).select("fp", "other").distinct()
+    return a.hint("merge").join(b.hint("merge"), "key").where(near & (F.col("fp") < F.col("other")) if right is None else near).select("fp", "other").distinct()
 
 
 def exact_duplicates(docs: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.operators import dedup as D
 
@@ -76,6 +77,17 @@ def test_near_pairs_are_exact(spark, distance):
     assert got == want
 
 
+@pytest.mark.parametrize("probes", [False, True])
+def test_exploded_keys_are_not_broadcast(spark, probes):
+    """Spark's estimate leaves out the 20 keys of a fingerprint, so a small table of fingerprints made a large broadcast."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    found = D.near_fingerprints(fps, fps.limit(100) if probes else None)
+    assert found.count() == 100 * probes
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_probes(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "z")], "doc_id long, text string")
     probe = spark.createDataFrame([(9, "a b c")], "doc_id long, text string")
