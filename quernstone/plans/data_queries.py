@@ -15,7 +15,7 @@ from quernstone.operators import validate as V
 from quernstone.plans import dedup_queries as DQ
 from quernstone.plans import text_sql as Q
 from quernstone.plans import verify_queries as VQ
-from quernstone.plans.registry import query, table
+from quernstone.plans.registry import query, stream, table
 from quernstone.sources import datasets as D
 from quernstone.sources import store
 from quernstone.sources.shared import shared_path
@@ -282,8 +282,7 @@ def model_cost(spark, sf_dir):
 @query(f"WITH {_LEDGER} SELECT stage, model, round(sum(cost), 6) AS cost FROM led GROUP BY ALL")
 def stream_ledger(spark, sf_dir):
     name = f"spent_{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    calls = events.select(F.col("event_type").alias("stage"), F.concat(F.lit("model"), F.col("user_id") % 3).alias("model"), F.coalesce(F.col("value"), F.lit(0.0)).alias("cost"))
+    calls = stream(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.concat(F.lit("model"), F.col("user_id") % 3).alias("model"), F.coalesce(F.col("value"), F.lit(0.0)).alias("cost"))
     run = S.spent(calls).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "ledger")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("stage", "model", F.round("cost", 6).alias("cost"))
@@ -292,8 +291,7 @@ def stream_ledger(spark, sf_dir):
 @query(DQ.WALK + " SELECT doc_id FROM decided WHERE NOT is_duplicate")
 def stream_dedup(spark, sf_dir):
     at = shared_path(spark, "stream")
-    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    S.dedup_stream(docs.select("doc_id", "text"), f"{at}/registry", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    S.dedup_stream(stream(spark, sf_dir, "documents").select("doc_id", "text"), f"{at}/registry", f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id")
 
 

@@ -7,9 +7,11 @@ from quernstone.functions import web as W
 from quernstone.operators import collect as K
 from quernstone.operators import metrics as M
 from quernstone.operators import validate as V
+from quernstone.plans import catalog
 from quernstone.sources import datasets as D
 from quernstone.sources.code import check_code, run_tests
 from quernstone.sources.store import ParquetStore
+from tests.conftest import SF
 
 
 def records(spark, *rows):
@@ -212,3 +214,12 @@ def test_code(spark):
     with pytest.raises(PermissionError):
         check_code(df)
     assert {r["candidate_id"]: r["programmatic_pass"] for r in check_code(df, allow=True).collect()} == {"a": True, "b": None}
+
+
+@pytest.mark.parametrize("name, source", [("stream_dedup", "documents"), ("stream_ledger", "events")])
+def test_streams_of_tables_in_parts(spark, tmp_path, name, source):
+    """A table may be a folder of parts, as larger ones are."""
+    spark.read.parquet(f"{SF}/{source}.parquet").repartition(3).write.parquet(str(tmp_path / f"{source}.parquet"))
+    key = lambda r: repr([round(v, 4) if isinstance(v, float) else v for v in r])
+    of = lambda at: sorted(map(key, catalog.queries()[name](spark, at).collect()))
+    assert of(str(tmp_path)) == of(SF) != []
