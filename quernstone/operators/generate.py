@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import consistency, formats
+from quernstone.sources.shared import checkpointed
 
 DIFFICULTIES = [("beginner", 3), ("intermediate", 4), ("advanced", 3)]
 _PLAN = "struct<name: string, concepts: array<string>, sample_count: int, difficulties: map<string,int>>"
@@ -34,7 +35,8 @@ def expand(plan: DataFrame, max_samples: int = 100, batch_size: int = 10) -> Dat
 
     A cell's batch is what its level wants, at most ``batch_size``, until the target is reached; a level that wants nothing
     ends its concept's levels. This is the closed form for when every answer is usable; run it again on what is missing
-    where some aren't. A plan is a handful of rows, so one window over all of them is no bottleneck.
+    where some aren't. The order is cut into ranges of rows, checkpointed so that both passes see the same ones: the ranges' sums,
+    a row for each, run up first, and each range then adds its own running sum.
     """
     concepts = F.when(F.size("concepts") > 0, F.col("concepts")).otherwise(F.array("name"))
     cells = plan.select("plan_pos", "name", F.posexplode(concepts).alias("concept_pos", "concept"), "difficulties")
@@ -43,9 +45,13 @@ def expand(plan: DataFrame, max_samples: int = 100, batch_size: int = 10) -> Dat
     levels = Window.partitionBy("plan_pos", "concept_pos").orderBy("level_pos").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("open", F.min(F.when(wanted > 0, 1).otherwise(0)).over(levels)).withColumn("wanted", F.when(F.col("open") == 1, wanted).otherwise(0))
     target = plan.agg(F.least(F.lit(max_samples), F.coalesce(F.sum("sample_count"), F.lit(0))).alias("target"))
-    order = Window.orderBy("plan_pos", "concept_pos", "level_pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("wanted").over(order), F.lit(0))
-    out = cells.crossJoin(F.broadcast(target)).withColumn("batch", F.greatest(F.lit(0), F.least(F.col("wanted"), F.col("target") - before)).cast("int"))
+    keys = ["plan_pos", "concept_pos", "level_pos"]
+    ranged = checkpointed(cells.select("plan_pos", "name", "concept_pos", "concept", "level_pos", "d", "wanted").repartitionByRange(*keys).withColumn("__b", F.spark_partition_id()))
+    ranges = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(F.col("__b").alias("b")).agg(F.sum("wanted").alias("n")).select("b", F.coalesce(F.sum("n").over(ranges), F.lit(0)).alias("start"))
+    order = Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("wanted").over(order), F.lit(0))
+    out = ranged.join(F.broadcast(starts), F.col("__b") == F.col("b")).crossJoin(F.broadcast(target)).withColumn("batch", F.greatest(F.lit(0), F.least(F.col("wanted"), F.col("target") - before)).cast("int"))
     return out.select("plan_pos", "name", "concept_pos", "concept", "level_pos", F.col("d.level").alias("level"), F.col("wanted").cast("int").alias("wanted"), "batch")
 
 

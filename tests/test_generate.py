@@ -112,3 +112,21 @@ def test_dry_run(spark):
     assert (r["cybersecurity"]["pages"], r["cybersecurity"]["documents"], r["cybersecurity"]["samples"], r["cybersecurity"]["tokens"], r["cybersecurity"]["minutes"]) == (50, 20, 200, 273_000, 11)
     assert r["cybersecurity"]["cost"] == 6.09 and r["reasoning"]["minutes"] == 6 and r["coding"]["minutes"] == 8
     assert [len(t[4]) for t in P.TEMPLATES.values()] == [17, 12, 14]
+
+
+def test_expand_runs_up_in_ranges(spark):
+    """Cells of a large plan aren't one task's, and their batches are the same as in one sequence."""
+    levels = F.array(F.struct(F.lit("a").alias("level"), (F.col("id") % 4).cast("int").alias("cnt")), F.struct(F.lit("b").alias("level"), F.lit(7).alias("cnt")))
+    plan = spark.range(3000).select(F.col("id").alias("plan_pos"), F.lit("n").alias("name"), F.array(F.lit("c")).alias("concepts"), F.lit(2).alias("sample_count"), levels.alias("difficulties"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = G.expand(plan, 5000, 5).withColumn("task", F.spark_partition_id()).orderBy("plan_pos", "level_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    left, want = 5000, []
+    for k in range(3000):
+        for n in (k % 4, 5 if k % 4 else 0):
+            want.append(min(n, left))
+            left -= want[-1]
+    assert [r["batch"] for r in got] == want and left == 0
+    assert len({r["task"] for r in got}) > 1
