@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -50,6 +50,25 @@ PRICES = {
 CODE_LINE = r"(?U)^(?:\w+\s*=|(?:def|class|import|from) |\w+\([^\n]*\)\s*$)"
 
 
+#: Characters of texts that a Python worker holds as strings at once; a longer text is alone.
+GROUP_CHARS = 1_000_000
+
+
+def one_by_one(texts: pa.Array, rule: Callable, kind: pa.DataType) -> pa.Array:
+    """``rule`` of each text of an Arrow array. Strings are made one after the other and results go back to Arrow by groups of about
+    ``GROUP_CHARS``, so that a batch of 10,000 long texts is never held as Python strings."""
+    groups, held, chars = [], [], 0
+    for x in texts:
+        t = x.as_py()
+        held.append(rule(t))
+        chars += len(t or "")
+        if chars >= GROUP_CHARS:
+            groups.append(pa.array(held, kind))
+            held, chars = [], 0
+    groups.append(pa.array(held, kind))
+    return pa.concat_arrays(groups)
+
+
 def _length(x: Column) -> Column:
     return F.length(x).cast("double")
 
@@ -69,9 +88,9 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]+"), strip), lambda s: s != "")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return one_by_one(text, lambda t: None if t is None else unicodedata.normalize("NFKC", t), pa.string())
 
 
 def _stable() -> str:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quernstone.functions.text import one_by_one
+
 #: Social, question and content-farm sites, sorted by name.
 BLOCKED = sorted(
     """answerbag blurtit ehow facebook instagram linkedin livestrong medium pinterest quora reddit substack tiktok twitter wikihow youtube""".split()
@@ -65,9 +67,13 @@ def html_to_text(html: str | None) -> str | None:
     return "\n".join(p.parts)
 
 
-@F.pandas_udf(StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(html_to_text)
+@F.arrow_udf(StringType())
+def html_text(html: pa.Array) -> pa.Array:
+    return one_by_one(html, html_to_text, pa.string())
+
+
+#: A filter over the text and what is made of it would otherwise parse every page once each, in Python workers of their own.
+_html_text_once = F.arrow_udf(html_text.func, StringType()).asNondeterministic()
 
 
 def html_title(html: Column) -> Column:
@@ -75,16 +81,16 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-@F.pandas_udf(StringType())
-def decoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unescape(t) if isinstance(t, str) else None)
+@F.arrow_udf(StringType())
+def decoded(text: pa.Array) -> pa.Array:
+    return one_by_one(text, lambda t: None if t is None else unescape(t), pa.string())
 
 
 def main_text(html: Column) -> Column:
     """An approximation of main-content extraction: the text of <article> or <main>, else of <body>, else of all."""
     part = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)
     article, main, body = part("article"), part("main"), part("body")
-    return html_text(F.when(article != "", article).when(main != "", main).when(body != "", body).otherwise(html))
+    return _html_text_once(F.when(article != "", article).when(main != "", main).when(body != "", body).otherwise(html))
 
 
 def result_links(html: Column) -> Column:

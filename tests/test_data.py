@@ -223,3 +223,10 @@ def test_streams_of_tables_in_parts(spark, tmp_path, name, source):
     key = lambda r: repr([round(v, 4) if isinstance(v, float) else v for v in r])
     of = lambda at: sorted(map(key, catalog.queries()[name](spark, at).collect()))
     assert of(str(tmp_path)) == of(SF) != []
+
+
+def test_pages_are_parsed_once(spark):
+    """Not once for the filter on length and again for what is selected."""
+    found = catalog.queries()["page_word_filter"](spark, SF)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.count()
