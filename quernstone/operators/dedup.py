@@ -14,11 +14,12 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from quernstone.functions.text import one_by_one
 from quernstone.sources.shared import checkpointed
 
 DISTANCE, BITS = 3, 64
@@ -42,10 +43,10 @@ def fingerprint(text: str | None) -> int | None:
     return int(np.packbits(2 * (n @ bits) > n.sum()).view(">i8")[0])
 
 
-@F.pandas_udf(LongType())
-def simhash(text: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def simhash(text: pa.Array) -> pa.Array:
     """Within a task, without a shuffle: exploding tokens and grouping them again would move every document."""
-    return pd.Series([fingerprint(t) for t in text], dtype="Int64")
+    return one_by_one(text, fingerprint, pa.int64())
 
 
 def unsigned(fp: Column) -> Column:

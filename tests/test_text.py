@@ -1,10 +1,13 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.functions import web as W
 from quernstone.operators import clean as C
+from quernstone.operators import dedup as D
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +95,23 @@ def test_entropy_of_many_characters(spark):
     for k, t in enumerate(texts):
         want = None if t is None else -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
         assert got[k] == want if want is None else abs(got[k] - want) < 1e-9
+
+
+def _peak(run, texts):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_python_rules_hold_few_texts_at_once():
+    """Batches have 10,000 rows however long texts are: neither they nor results may all be strings at the same time."""
+    texts = pa.array([None, "", *(f"<p>{k} {'word ' * 1000}</p>" for k in range(2000))])
+    for udf, rule in ((W.html_text, W.html_to_text), (W.decoded, lambda t: t), (T._nfkc, lambda t: t), (D.simhash, D.fingerprint)):
+        out, peak = _peak(udf.func, texts)
+        assert out[:40].to_pylist() == [rule(t) if t is not None else None for t in texts[:40].to_pylist()] and len(out) == len(texts)
+        assert peak < 5_000_000 < texts.nbytes
+    assert len(W.html_text.func(texts[:0])) == 0
