@@ -1,17 +1,24 @@
 """Text rules as column expressions: normalisation, boilerplate, chunks, readability, code and spam ratios, quality, language.
 
-Everything here stays in the JVM. NFKC isn't a Spark function; ``nfkc`` applies it to the few rows that it can change.
+Most of it stays in the JVM. NFKC isn't a Spark function; ``nfkc`` applies it to the few rows that it can change. Counts over every
+word or character of a text (``measures``, ``char_entropy``) are taken in Python: lambdas of the JVM cost about ten times as much.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from itertools import compress
+from operator import and_, eq, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 #: Common English words, for the share that makes a text English.
 ENGLISH = sorted(
@@ -40,14 +47,19 @@ CODE_PATTERNS = [
     r"(?dm)=>|->|;\s*$",
     r"(?dmU)^\s*\w+\s*=\s*\w+\s*\(",
 ]
-#: Up to so many different characters of a text are counted one by one.
+#: Patterns of which each match has one of the pieces of every line: texts without them aren't searched.
+_CODE_NEEDS = {0: [["```"]], 1: [["`"]], 3: [["#", "/"], ["define", "include", "pragma"]], 4: [["=>", "->", ";"]], 5: [["="], ["("]]}
+#: Code points up to so many, and up to four times a text's length, are counted in a table; those of other texts are sorted.
 KINDS = 128
 #: Dollars for a million tokens in and out, by model; others have the fallback price.
 PRICES = {
     "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4-turbo": (10.0, 30.0), "gpt-3.5-turbo": (0.5, 1.5),
     "claude-3-5-sonnet-20241022": (3.0, 15.0), "claude-3-haiku-20240307": (0.25, 1.25), "gemini/gemini-1.5-pro": (1.25, 5.0), "gemini/gemini-1.5-flash": (0.075, 0.3),
 }
-CODE_LINE = r"(?U)^(?:\w+\s*=|(?:def|class|import|from) |\w+\([^\n]*\)\s*$)"
+#: A line that, stripped, looks like code.
+CODE_LINE = r"(?dmU)^[^\S\n]*(?:\w+[^\S\n]*=|(?:def|class|import|from) [^\S\n]*\S|\w+\([^\n]*\)[^\S\n]*$)"
+#: White space of any kind, as ``(?U)\s``.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 #: Characters of texts that a Python worker holds as strings at once; a longer text is alone.
@@ -75,7 +87,7 @@ def _length(x: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:
@@ -149,30 +161,20 @@ def chunks(text: Column, max_size: int = 4000) -> Column:
     return F.when(F.length(text) <= max_size, F.array(text)).when(F.size(packed) > 0, packed).when(text.isNotNull(), F.array(F.substring(text, 1, max_size)))
 
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text.
+def _entropy(text: str) -> float:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    if not n:
+        return 0.0
+    counts = np.bincount(codes) if codes.max() < max(KINDS, 4 * n) else np.unique(codes, return_counts=True)[1]
+    counts = counts[counts > 0].astype(float)
+    return float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
-    Characters are counted and taken out one after the other, in the order in which they first occur: frequent ones occur
-    early, so little is left to go over after a few. Texts with more than ``KINDS`` different ones have theirs sorted and counted in runs.
-    """
-    n = _length(text)
-    start = F.struct(text.alias("rest"), F.lit(0.0).alias("sum"))
-    weight = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
-
-    def step(acc: Column, c: Column) -> Column:
-        return let(F.replace(acc.rest, c, F.lit("")), lambda rest: F.struct(rest.alias("rest"), (acc["sum"] + let(_length(acc.rest) - _length(rest), weight)).alias("sum")))
-
-    run = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
 
-    def next_run(acc: Column, c: Column) -> Column:
-        same = acc["c"] == c
-        return F.struct(c.alias("c"), F.when(same, acc["n"] + 1.0).otherwise(1.0).alias("n"), F.when(same, acc["sum"]).otherwise(acc["sum"] + weight(acc["n"])).alias("sum"))
-
-    each = F.filter(F.split(text, ""), lambda c: c != "")
-    few = lambda kinds: F.aggregate(kinds, start, step, lambda acc: acc["sum"])
-    many = F.aggregate(F.sort_array(each), run, next_run, lambda acc: acc["sum"] + weight(acc["n"]))
-    total = let(F.array_distinct(each), lambda kinds: F.when(F.size(kinds) <= KINDS, few(kinds)).otherwise(many))
-    return F.when(n > 0, F.log2(n) - total / n).when(text.isNotNull(), F.lit(0.0))
+@F.arrow_udf(DoubleType())
+def char_entropy(text: pa.Array) -> pa.Array:
+    """Shannon entropy of the characters in bits; 0 for an empty text."""
+    return one_by_one(text, lambda t: None if t is None else _entropy(t), pa.float64())
 
 
 def syllables(word: Column) -> Column:
@@ -185,10 +187,6 @@ def _syllables(w: Column) -> Column:
     return F.when(F.length(w) <= 2, 1).otherwise(F.greatest(F.lit(1), runs - F.when(F.endswith(w, F.lit("e")) & (runs > 1), 1).otherwise(0)))
 
 
-def syllable_total(tokens: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0), lambda s, w: s + _syllables(F.lower(w)))
-
-
 def flesch_kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     """Grade from counts; 0 where there is no word or sentence."""
     return F.when((n_words > 0) & (n_sentences > 0), 0.39 * (n_words / n_sentences) + 11.8 * (n_syllables / n_words) - 15.59).otherwise(0.0)
@@ -196,34 +194,78 @@ def flesch_kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) ->
 
 def code_ratio(text: Column) -> Column:
     """The larger of the share of characters that code patterns match (overlaps count twice, 1 at most) and of lines that look like code."""
-    matched = sum((F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda s, m: s + F.length(m)) for p in CODE_PATTERNS), F.lit(0))
-    lines = F.split(text, "\n")
-    like = F.size(F.filter(lines, lambda x: strip(x).rlike(CODE_LINE)))
-    return F.greatest(F.least(F.lit(1.0), matched / F.greatest(_length(text), F.lit(1.0))), like / F.size(lines))
-
-
-def spam_score(text: Column, tokens: Column, pieces: Column) -> Column:
-    """Penalties for a repeated word, capitals, exclamation and question marks, and short sentences; 1 at most."""
-    n = F.size(tokens)
-    normal = F.sort_array(F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"^[.,!?;:]+|[.,!?;:]+$", "")))
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, w: Column) -> Column:
-        run = F.when(acc.w == w, acc.run + 1).otherwise(1)
-        return F.struct(w.alias("w"), run.alias("run"), F.greatest(acc.best, run).alias("best"))
-
-    most = F.aggregate(normal, start, step, lambda acc: acc.best)
-    long = F.size(F.filter(tokens, lambda w: F.length(w) > 2))
-    capitals = F.size(F.filter(tokens, lambda w: (F.length(w) > 2) & (w == F.upper(w)) & (w != F.lower(w))))
-    marks = F.length(text) - F.length(F.translate(text, "!?", ""))
-    short = F.size(F.filter(pieces, lambda s: F.size(words(s)) < 4))
-    total = (
-        F.when(most > n * F.lit(0.08), 0.3).otherwise(0.0)
-        + F.when(capitals > long * F.lit(0.3), 0.3).otherwise(0.0)
-        + F.when(marks > n * F.lit(0.05), 0.2).otherwise(0.0)
-        + F.when((F.size(pieces) > 0) & (short / F.size(pieces) > 0.5), 0.2).otherwise(0.0)
-    )
-    return F.when(n > 0, F.least(F.lit(1.0), total)).otherwise(0.0)
+
+    def matched(k: int) -> Column:
+        n = F.aggregate(F.regexp_extract_all(text, F.lit(CODE_PATTERNS[k]), F.lit(0)), F.lit(0), lambda s, m: s + F.length(m))
+        may = [reduce(or_, [F.contains(text, F.lit(x)) for x in line]) for line in _CODE_NEEDS.get(k, [])]
+        return F.when(reduce(and_, may), n).otherwise(0) if may else F.coalesce(n, F.lit(0))
+
+    share = sum((matched(k) for k in range(len(CODE_PATTERNS))), F.lit(0)) / F.greatest(_length(text), F.lit(1.0))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.greatest(F.least(F.lit(1.0), share), F.regexp_count(text, F.lit(CODE_LINE)) / lines)
+
+
+_SPACE, _STOPS = re.compile(f"[{BLANKS}]+"), re.compile("[.!?]+")
+#: Bytes of words in lower case: vowels are 1, blanks 2, others 0.
+_SOUNDS = bytes(1 if chr(k) in "aeiouy" else 2 * (k == 32) for k in range(256))
+
+
+def _split(text: str) -> list[str]:
+    """As ``words``."""
+    return [w for w in _SPACE.split(text) if w]
+
+
+def _syllable_total(low: list[str]) -> int:
+    """The ``syllables`` of words in lower case: one for each, and one for each further run of vowels in it, less a silent e."""
+    said = " ".join(low).encode() + b" "
+    sounds = np.frombuffer(said.translate(_SOUNDS), np.uint8)
+    vowel = sounds == 1
+    starts = np.flatnonzero(vowel[1:] & ~vowel[:-1]) + 1
+    if vowel[0]:
+        starts = np.append(0, starts)
+    ends = np.flatnonzero(sounds == 2)
+    word = np.searchsorted(ends, starts)
+    further = word[1:] == word[:-1]
+    final = word[1:][further & np.append(word[2:] != word[1:-1], True)[: len(further)]]
+    return len(low) + int(further.sum()) - int((np.frombuffer(said, np.uint8)[ends[final] - 1] == ord("e")).sum())
+
+
+def _spam(text: str, tokens: list[str], low: list[str], up: list[str], pieces: list[int]) -> float:
+    n = len(tokens)
+    if not n:
+        return 0.0
+    most = max(Counter([w.strip(".,!?;:") for w in low]).values())
+    long = sum([len(w) > 2 for w in tokens])
+    # Most words that are as in capitals are numbers or have no capitals at all.
+    capitals = sum([len(w) > 2 and w != v for w, v in compress(zip(tokens, low), map(eq, tokens, up))])
+    marks = text.count("!") + text.count("?")
+    total = (0.3 if most > n * 0.08 else 0.0) + (0.3 if capitals > long * 0.3 else 0.0) + (0.2 if marks > n * 0.05 else 0.0)
+    return min(1.0, total + (0.2 if pieces and sum([k < 4 for k in pieces]) / len(pieces) > 0.5 else 0.0))
+
+
+def _measured(text: str | None) -> tuple:
+    if text is None:
+        return None, None, None, None, 0.0
+    # str.split takes four control characters for white space besides.
+    split = _split if any(c in text for c in "\x1c\x1d\x1e\x1f") else str.split
+    tokens, low = split(text), split(text.lower())
+    pieces = [k for p in _STOPS.split(text) if (k := len(split(p)))]
+    return len(tokens), len(pieces), _syllable_total(low), _entropy(text), _spam(text, tokens, low, split(text.upper()), pieces)
+
+
+_COUNTS, _RATIOS = ("n_words", "n_sentences", "n_syllables"), ("entropy", "spam")
+
+
+@F.arrow_udf(reduce(lambda s, k: s.add(k, IntegerType() if k in _COUNTS else DoubleType()), _COUNTS + _RATIOS, StructType()))
+def measures(text: pa.Array) -> pa.Array:
+    """The sizes of ``words`` and ``sentences``, the words' ``syllables``, the entropy of characters, and spam: penalties for a
+    repeated word, capitals, exclamation and question marks, and short sentences; 1 at most."""
+    return one_by_one(text, _measured, pa.struct([(k, pa.int32()) for k in _COUNTS] + [(k, pa.float64()) for k in _RATIOS]))
+
+
+def spam_score(text: Column, tokens: Column | None = None, pieces: Column | None = None) -> Column:
+    """The spam of ``measures``. Words and sentences are the text's own; they needn't be given."""
+    return measures(text)["spam"]
 
 
 def quality(n_chars: Column, n_words: Column, n_sentences: Column, grade: Column, entropy: Column, code: Column, spam: Column) -> Column:

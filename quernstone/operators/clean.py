@@ -21,22 +21,14 @@ class CleanSettings:
 
 
 def with_features(df: DataFrame, column: str = "clean") -> DataFrame:
-    """``df`` with the counts and ratios of ``column`` that the quality score needs.
-
-    Token and sentence arrays are columns of an inner projection, so that they are split once.
-    """
-    t = F.col(column)
-    split = df.withColumn("__tokens", T.words(t)).withColumn("__pieces", T.sentences(t))
-    tokens, pieces = F.col("__tokens"), F.col("__pieces")
-    counted = split.select(
+    """``df`` with the counts and ratios of ``column`` that the quality score needs."""
+    t, found = F.col(column), F.col("__measures")
+    counted = df.withColumn("__measures", T.measures(t)).select(
         *df.columns,
         F.length(t).alias("n_chars_clean"),
-        F.size(tokens).alias("n_words"),
-        F.size(pieces).alias("n_sentences"),
-        T.syllable_total(tokens).alias("n_syllables"),
-        T.char_entropy(t).alias("entropy"),
+        *[found[k].alias(k) for k in ("n_words", "n_sentences", "n_syllables", "entropy")],
         T.code_ratio(t).alias("code"),
-        T.spam_score(t, tokens, pieces).alias("spam"),
+        found["spam"].alias("spam"),
     )
     return counted.withColumn("grade", T.flesch_kincaid(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")))
 

@@ -55,7 +55,7 @@ def char_entropy(spark, sf_dir):
 
 @query(f"SELECT doc_id, coalesce(list_sum(list_transform({Q.words('text')}, lambda w: {Q.syllables('lower(w)')})), 0)::INTEGER AS syllables FROM documents")
 def syllables(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.syllable_total(T.words(F.col("text"))).alias("syllables"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.measures(F.col("text"))["n_syllables"].alias("syllables"))
 
 
 def _features(spark, sf_dir):
