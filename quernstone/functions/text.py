@@ -295,9 +295,9 @@ def normalize_answer(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The inside of a fenced block, or the stripped text; an open fence without a new line is kept as it is."""
-    t = strip(text)
-    inside = F.regexp_replace(t, r"(?s)^```[^\n]*\n", "")
-    return F.when(F.startswith(t, F.lit("```")) & F.contains(t, F.lit("\n")), strip(F.regexp_replace(inside, r"(?s)```(?:(?!```).)*$", ""))).otherwise(t)
+    inside = lambda t: F.substr(t, F.instr(t, "\n") + 1)
+    closed = lambda t: strip(F.regexp_replace(inside(t), r"(?s)```(?:(?!```).)*$", ""))
+    return let(strip(text), lambda t: F.when(F.startswith(t, F.lit("```")) & F.contains(t, F.lit("\n")), closed(t)).otherwise(t))
 
 
 def estimate_tokens(text: Column) -> Column:

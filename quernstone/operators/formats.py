@@ -79,44 +79,47 @@ def parse(fmt: str, raw: Column, concept: Column, subtopic: Column, difficulty:
     Reasoning and principles records take difficulty and subtopic from the plan, whatever the model wrote.
     """
     fmt = known(fmt)
-    text = T.strip_fence(raw)
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
     fallback = F.to_json(_fallback(fmt, concept, subtopic, raw, difficulty))
-    if fmt in ("reasoning", "principles"):
-        entries = F.from_json(text, "map<string,variant>")
+    is_object = lambda text: F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull()
+    if fmt not in ("reasoning", "principles"):
+        return T.let(T.strip_fence(raw), lambda text: F.when(is_object(text), text).otherwise(fallback))
+    fixed = F.map_from_arrays(F.array(F.lit("difficulty"), F.lit("subtopic")), F.array(F.to_variant_object(F.struct(difficulty.alias("v"))), F.to_variant_object(F.struct(subtopic.alias("v")))))
+    plain = F.transform_values(fixed, lambda k, v: F.variant_get(v, "$.v", "variant"))
+
+    def merged(entries: Column) -> Column:
         own = F.from_json(F.to_json(F.coalesce(entries["metadata"], F.parse_json(F.lit("{}")))), "map<string,variant>")
-        fixed = F.map_from_arrays(F.array(F.lit("difficulty"), F.lit("subtopic")), F.array(F.to_variant_object(F.struct(difficulty.alias("v"))), F.to_variant_object(F.struct(subtopic.alias("v")))))
-        plain = F.transform_values(fixed, lambda k, v: F.variant_get(v, "$.v", "variant"))
         kept = F.map_filter(F.coalesce(own, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, v: ~k.isin("difficulty", "subtopic"))
-        metadata = F.map_concat(kept, plain)
+        metadata = F.parse_json(F.to_json(F.map_concat(kept, plain)))
         rest = F.map_filter(entries, lambda k, v: k != "metadata")
-        merged = F.map_concat(rest, F.map_from_arrays(F.array(F.lit("metadata")), F.array(F.parse_json(F.to_json(metadata)))))
-        return F.when(is_object, F.to_json(merged)).otherwise(fallback)
-    return F.when(is_object, text).otherwise(fallback)
+        return F.to_json(F.map_concat(rest, F.map_from_arrays(F.array(F.lit("metadata")), F.array(metadata))))
+
+    return T.let(T.strip_fence(raw), lambda text: F.when(is_object(text), T.let(F.from_json(text, "map<string,variant>"), merged)).otherwise(fallback))
 
 
 def _truthy(value: Column) -> Column:
     """Neither missing, null, false, 0, an empty string, list nor object."""
-    text = F.to_json(value)
-    return value.isNotNull() & ~F.is_variant_null(value) & ~text.isin('""', "[]", "{}", "0", "0.0", "false")
+    return T.let(F.to_json(value), lambda text: value.isNotNull() & ~F.is_variant_null(value) & ~text.isin('""', "[]", "{}", "0", "0.0", "false"))
 
 
-def is_valid(fmt: str, record: Column) -> Column:
+def is_filled(fmt: str, value: Column) -> Column:
     """Whether all fields that the format needs are filled; dialogues have at least two turns, each with both fields filled."""
     fmt = known(fmt)
-    value = F.try_parse_json(record)
-    field = lambda v, k: F.variant_get(v, f"$.{k}", "variant")
+    filled = lambda v, k: T.let(F.variant_get(v, f"$.{k}", "variant"), _truthy)
     if fmt in _MESSAGES:
         name, who, what = _MESSAGES[fmt]
-        turns = F.try_variant_get(value, f"$.{name}", "array<variant>")
-        filled = F.forall(turns, lambda m: F.coalesce(_truthy(field(m, who)) & _truthy(field(m, what)), F.lit(False)))
-        return F.coalesce((F.size(turns) >= 2) & filled, F.lit(False))
+        each = lambda m: F.coalesce(filled(m, who) & filled(m, what), F.lit(False))
+        return F.coalesce(T.let(F.try_variant_get(value, f"$.{name}", "array<variant>"), lambda turns: (F.size(turns) >= 2) & F.forall(turns, each)), F.lit(False))
     out = F.lit(True)
     for k in _NEEDED[fmt]:
-        out = out & _truthy(field(value, k))
+        out = out & filled(value, k)
     return F.coalesce(out, F.lit(False))
 
 
+def is_valid(fmt: str, record: Column) -> Column:
+    """``is_filled`` of a record in JSON text; False for other texts."""
+    return F.coalesce(T.let(F.try_parse_json(record), lambda value: is_filled(fmt, value)), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Format:
     """A record format as one object, for the registry."""

@@ -95,13 +95,13 @@ def to_samples(responses: DataFrame, fmt: str, run_id: str = "") -> DataFrame:
     """Samples from model texts (call_id, model, text, concept, name, level, source_ids): content, validity and lineage."""
     fmt = formats.known(fmt)
     record = formats.parse(fmt, F.col("text"), F.col("concept"), F.col("name"), F.col("level"))
-    rows = responses.withColumn("record", record).withColumn("valid", formats.is_valid(fmt, F.col("record")))
+    rows = responses.withColumn("content", F.parse_json(record)).withColumn("valid", formats.is_filled(fmt, F.col("content")))
     lineage = F.struct(
         F.col("call_id").cast("string").alias("sample_id"), F.col("source_ids").alias("source_documents"), F.col("model").alias("generation_model"),
         F.current_timestamp().alias("generation_timestamp"), F.col("name").alias("template"), F.lit(run_id).alias("pipeline_run_id"), F.lit(fmt).alias("format"),
         F.create_map(F.lit("generate"), F.lit("1.0")).alias("stage_versions"),
     )
-    return rows.select(F.col("call_id").alias("sample_id"), F.lit(fmt).alias("format"), F.parse_json("record").alias("content"), "valid", lineage.alias("lineage"), F.col("name").alias("subtopic"), F.col("level").alias("difficulty"))
+    return rows.select(F.col("call_id").alias("sample_id"), F.lit(fmt).alias("format"), "content", "valid", lineage.alias("lineage"), F.col("name").alias("subtopic"), F.col("level").alias("difficulty"))
 
 
 def self_consistent(responses: DataFrame, fmt: str, run_id: str = "") -> DataFrame:

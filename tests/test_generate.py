@@ -130,3 +130,11 @@ def test_expand_runs_up_in_ranges(spark):
             left -= want[-1]
     assert [r["batch"] for r in got] == want and left == 0
     assert len({r["task"] for r in got}) > 1
+
+
+@pytest.mark.parametrize("fmt", R.FIELDS)
+def test_a_text_is_stripped_once_and_parsed_few_times(spark, fmt):
+    """Fields are looked up in one parsed record, not in a text parsed for each."""
+    made = G.to_samples(spark.createDataFrame([("c", "m", "{}", "concept", "topic", "easy", ["d"])], RESP), fmt)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") <= 3 and plan.count("regexp_replace(") <= 1
